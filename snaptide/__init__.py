@@ -1,3 +1,10 @@
 """snaptide: snapshot-catalogue analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in Python workers travel with the job, so the package need not be installed on executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
