@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from snaptide.llm import bloom_cascade, latent_decontam, line_dedup, page_diff, pareto_mix, quality_rules, simhash_pivots
+from snaptide.llm import bloom_cascade, latent_decontam, line_dedup, page_diff, pareto_mix, quality_rules, secret_link, simhash_pivots
 
 _OPERATORS = {
     "op1_pareto_mix": pareto_mix,
+    "op2_secret_link": secret_link,
     "op4_bloom_cascade": bloom_cascade,
     "op5_simhash_pivots": simhash_pivots,
     "op6_page_diff": page_diff,
