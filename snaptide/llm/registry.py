@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from snaptide.llm import bloom_cascade, latent_decontam, line_dedup, page_diff, pareto_mix, quality_rules, secret_link, simhash_pivots
+from snaptide.llm import bloom_cascade, ecoc_lang, latent_decontam, line_dedup, page_diff, pareto_mix, quality_rules, secret_link, simhash_pivots
 
 _OPERATORS = {
     "op1_pareto_mix": pareto_mix,
     "op2_secret_link": secret_link,
+    "op3_ecoc_lang": ecoc_lang,
     "op4_bloom_cascade": bloom_cascade,
     "op5_simhash_pivots": simhash_pivots,
     "op6_page_diff": page_diff,
