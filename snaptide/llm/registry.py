@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from snaptide.llm import bloom_cascade, ecoc_lang, latent_decontam, line_dedup, page_diff, pareto_mix, quality_rules, secret_link, simhash_pivots
+from snaptide.llm import bloom_cascade, ecoc_lang, latent_decontam, line_dedup, page_diff, pareto_mix, quality_rules, secret_link, simhash_pivots, warc_members
 
 _OPERATORS = {
     "op1_pareto_mix": pareto_mix,
@@ -14,6 +14,7 @@ _OPERATORS = {
     "op7_line_dedup": line_dedup,
     "op8_latent_decontam": latent_decontam,
     "op9_quality_rules": quality_rules,
+    "op10_warc_members": warc_members,
 }
 
 
