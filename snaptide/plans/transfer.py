@@ -136,7 +136,8 @@ def move_plan(files: DataFrame, base: str, target: str) -> DataFrame:
 
     path = F.concat("rel", "filename")
     to = rerooted(path, base, target)
-    fail = F.raise_error(F.concat(F.lit("not below the base or in an archive: "), path)).cast("boolean")
-    return files.filter(F.when(to.isNull() | F.col("in_archive"), fail).otherwise(True)).select("id", path.alias("source"), to.alias("destination"))
-
-
+    # one value decides for all: a filter on the rows themselves might be moved below the joins before it
+    bad = files.agg(F.min(F.when(to.isNull() | F.col("in_archive"), path)).alias("__bad"))
+    fail = F.raise_error(F.concat(F.lit("not below the base or in an archive: "), F.col("__bad"))).cast("boolean")
+    checked = files.crossJoin(F.broadcast(bad)).filter(F.when(F.col("__bad").isNotNull(), fail).otherwise(True))
+    return checked.select("id", path.alias("source"), to.alias("destination"))

@@ -1,0 +1,21 @@
+"""Every registered catalogue query against its SQL at the smallest scale."""
+
+import pytest
+
+from snaptide.plans.catalogue_queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(name, agree):
+    agree(QUERIES[name], ORACLES[name])
+
+
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_entry_imports():
+    import __spark_entry__ as e
+
+    assert set(QUERIES) <= set(e.queries()) and callable(e.entry)
+    assert set(e.oracle_sql()) <= set(e.queries())
