@@ -93,14 +93,15 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that break no rule, with all their columns. See measured()."""
+    base = docs.select("*", text_of().alias("__st_text"), F.col("lang").alias("__st_lang"))
     m = _measures(F.col("__st_text"), F.col("__st_lang"))
-    arrays = docs.select("*", text_of().alias("__st_text"), F.col("lang").alias("__st_lang")).select(
-        "*", m.pop("__st_tokens").alias("__st_tokens"), m.pop("__st_lines").alias("__st_lines")
-    )
+    # a generator holds the arrays, else the optimiser moves their making into every rule of the filter
+    arrays = F.struct(m.pop("__st_tokens").alias("tokens"), m.pop("__st_lines").alias("lines"))
+    made = base.select("*", F.explode(F.array(arrays)).alias("__st_made")).withColumns({"__st_tokens": F.col("__st_made.tokens"), "__st_lines": F.col("__st_made.lines")})
     broken = F.lit(False)
     for r in rules:
         broken = broken | _broken(r, m.__getitem__, m["n_words"])
-    return arrays.filter(~broken).select(*(docs[c] for c in docs.columns))
+    return made.filter(~broken).select(*(docs[c] for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
