@@ -106,3 +106,15 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd, none):
             if k + 1 < len(corpus_pipeline.STAGES):
                 assert out.columns == table.columns
             out.count()
+
+
+def test_shared_folder(spark):
+    """The session's setting is read, and never set; without it a folder of the machine serves."""
+    from types import SimpleNamespace
+
+    from snaptide.llm.common import shared_dir
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="none"))
+    assert shared_dir(unset).startswith("file:///") and shared_dir(unset) == shared_dir(unset)
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    assert not there or shared_dir(spark).endswith(there.split(":")[-1].lstrip("/").rstrip("/"))
