@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaptide import catalog
-from snaptide.functions.paths import ends_with_any, is_archive, is_image
+from snaptide.functions.paths import DEFAULT_EXCLUDED_DIRS, DEFAULT_EXCLUDED_FILES, ends_with_any, is_archive, is_image
 from snaptide.functions.text import file_extension
 from snaptide.plans.compare import reusable
 from snaptide.schema import TABLES
@@ -29,6 +29,8 @@ def snapshot(
     folder: str,
     *,
     includes: tuple[str, ...] = (),
+    excluded_files: tuple[str, ...] = DEFAULT_EXCLUDED_FILES,
+    excluded_dirs: tuple[str, ...] = DEFAULT_EXCLUDED_DIRS,
     archives: bool = True,
     fast_mode: bool = True,
     skip_hash: bool = False,
@@ -46,7 +48,7 @@ def snapshot(
     """
     t = catalog.prepare(spark, folder)
     path = os.path.abspath(root).rstrip("/") + "/"
-    listing = scan.selected(scan.listed(spark, path), includes)
+    listing = scan.selected(scan.listed(spark, path), includes, excluded_files, excluded_dirs)
     failures = scan.listed(spark, path).filter("failure is not null").count()
     files = listing.withColumns({"modified": F.timestamp_millis(F.floor(F.col("modified_ns") / 1_000_000)), "created": F.timestamp_millis(F.floor(F.col("created_ns") / 1_000_000))})
     files = files.withColumn("extension", file_extension(F.col("filename"))).withColumn("in_archive", F.lit(False))
@@ -114,6 +116,6 @@ def snapshot(
 
     disk = os.statvfs(path)
     root_id = path_ids.filter(F.col("rel") == path).first()["file_path_id"]
-    run = [(run_id, root_id, path, "", medium_description, medium_serial, now or datetime.now(timezone.utc), not os.access(path, os.W_OK), is_backup, 1 if first_mb_only else None, True, "|".join(sorted(set(includes))), "", "", disk.f_blocks * disk.f_frsize, disk.f_bavail * disk.f_frsize, failures > 0)]
+    run = [(run_id, root_id, path, "", medium_description, medium_serial, now or datetime.now(timezone.utc), not os.access(path, os.W_OK), is_backup, 1 if first_mb_only else None, True, "|".join(sorted(set(includes))), "|".join(sorted(set(excluded_dirs))), "|".join(sorted(set(excluded_files))), disk.f_blocks * disk.f_frsize, disk.f_bavail * disk.f_frsize, failures > 0)]
     _append(spark.createDataFrame(run, TABLES["index_run"]), folder, "index_run")
     return run_id
