@@ -13,7 +13,7 @@ from snaptide.llm.common import HashMemo, remove, scratch, words, written
 
 WORDS64 = 2  # a fingerprint has this many 64-bit words
 BITS = 64 * WORDS64
-THRESHOLD = 20  # pairs at this Hamming distance or less are near copies
+THRESHOLD = 22  # pairs at this Hamming distance or less are near copies
 TABLES = 64  # bucket tables ...
 KEY_BITS = 22  # ... and the unit pivots whose coordinates make a table's key
 PIVOTS = 64  # rows of the pivot distance table
