@@ -133,11 +133,9 @@ def all_ancestors(paths: DataFrame) -> DataFrame:
 def new_paths(file_path: DataFrame, paths: DataFrame) -> DataFrame:
     """The file_path rows to add so that all of paths are there; ids go on from the largest."""
     missing = all_ancestors(paths).join(file_path.select(F.col("path").alias("p")), F.col("path") == F.col("p"), "left_anti")
-    top = file_path.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("top"))
-    # only directories that are new are numbered
-    numbered = missing.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("depth", "path")))
-    known = file_path.select(F.col("path").alias("parent"), F.col("id").alias("parent_id")).union(numbered.select(F.col("path").alias("parent"), F.col("id").alias("parent_id")))
-    return numbered.join(known, "parent", "left").select("id", F.col("parent_id").alias("parent_file_path_id"), "path", "path_part", "depth")
+    added = numbered(missing, file_path, "path")
+    known = file_path.select(F.col("path").alias("parent"), F.col("id").alias("parent_id")).union(added.select(F.col("path").alias("parent"), F.col("id").alias("parent_id")))
+    return added.join(known, "parent", "left").select("id", F.col("parent_id").alias("parent_file_path_id"), "path", "path_part", "depth")
 
 
 def removed(t: Tables, low: int, high: int | None = None) -> Tables:
@@ -168,18 +166,19 @@ def updated(df: DataFrame, changes: DataFrame) -> DataFrame:
     return df.join(changes.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti").unionByName(changes)
 
 
-def numbered(new: DataFrame, existing: DataFrame, *order: str) -> DataFrame:
-    """new with ids that go on from existing's largest, in a fixed order.
+def numbered(new: DataFrame, existing: DataFrame, *key: str) -> DataFrame:
+    """new with ids that go on from existing's largest: by the first digits of the key's MD5, then by the key.
 
-    Rows are numbered inside the partitions of a range sort and the partitions' counts, one row each, are
-    added up, so no single task sees all rows.
+    Rows are numbered inside up to 4,096 groups, whose sizes, one row each, are added up; so no task sees all
+    rows. A row's group depends on nothing but the row, so however often a part is computed the ids are the same.
     """
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("__top"))
-    parts = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__seat", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__before")
-    out = parts.join(F.broadcast(before), "__part").crossJoin(F.broadcast(top))
-    return out.withColumn("id", F.col("__top") + F.col("__before") + F.col("__seat") + 1).drop("__part", "__seat", "__before", "__top")
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("__top"))
+    rows = new.withColumn("__group", F.substring(F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key))), 1, 3))
+    sizes = rows.groupBy("__group").agg(F.count("*").alias("__n"))
+    before = sizes.select("__group", (F.sum("__n").over(Window.orderBy("__group")) - F.col("__n")).alias("__before"))
+    seat = F.row_number().over(Window.partitionBy("__group").orderBy(*key))
+    out = rows.withColumn("__seat", seat).join(F.broadcast(before), "__group").crossJoin(F.broadcast(top))
+    return out.withColumn("id", F.col("__top") + F.col("__before") + F.col("__seat")).drop("__group", "__seat", "__before", "__top")
 
 
 def run_counts(index_run: DataFrame, file_location: DataFrame) -> DataFrame:

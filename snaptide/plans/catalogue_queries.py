@@ -512,7 +512,7 @@ def _(spark, sf):
     return new.join(hit, F.col("id") == F.col("hit"), "left").agg(F.count("*").alias("files"), F.count("hit").alias("reused"), F.round(F.count("hit") * 100.0 / F.count("*"), 6).alias("percent"))
 
 
-@query("hardlink_groups", sql("""SELECT id, CASE WHEN known IS NOT NULL THEN known ELSE (SELECT coalesce(max(CASE WHEN doc_id % 2 = 0 THEN reference_inode END), 0) FROM r2) + dense_rank() OVER (PARTITION BY known IS NULL ORDER BY os_inode) END AS inode
+@query("hardlink_groups", sql("""SELECT id, CASE WHEN known IS NOT NULL THEN known ELSE (SELECT coalesce(max(CASE WHEN doc_id % 2 = 0 THEN reference_inode END), 0) FROM r2) + dense_rank() OVER (PARTITION BY known IS NULL ORDER BY substr(md5('1|' || os_inode), 1, 3), os_inode) END AS inode
 FROM (SELECT id, os_inode, count(*) OVER (PARTITION BY os_inode) AS n, min(CASE WHEN doc_id % 2 = 0 THEN reference_inode END) OVER (PARTITION BY os_inode) AS known FROM (SELECT *, doc_id // 3 AS os_inode FROM r2)) WHERE n > 1"""))
 def _(spark, sf):
     doc = F.col("id") % 1_000_000_000
@@ -616,7 +616,7 @@ def _(spark, sf):
     return catalog.new_paths(empty, dirs).select("path", "depth")
 
 
-@query("numbered_locations", sql("SELECT 100 + row_number() OVER (ORDER BY rel, filename) AS id, filename FROM r2"))
+@query("numbered_locations", sql("SELECT 100 + row_number() OVER (ORDER BY substr(md5(rel || '|' || filename), 1, 3), rel, filename) AS id, filename FROM r2"))
 def _(spark, sf):
     start = spark.createDataFrame([(100,)], "id bigint")
     return catalog.numbered(files(spark, sf, 2).select("rel", "filename"), start, "rel", "filename").select("id", "filename")

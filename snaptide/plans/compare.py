@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snaptide.catalog import numbered
 from snaptide.operators import algebra as A
 from snaptide.operators.keys import MatchMode, keyed
 
@@ -140,11 +141,9 @@ def rename_plan(files: DataFrame) -> DataFrame:
 
 def hardlink_groups(files: DataFrame) -> DataFrame:
     """id and inode of files that share (device, os_inode) with another: the least inode their group has, or a
-    new one after the largest, by order of the groups."""
+    new one after the largest."""
     by = Window.partitionBy("device", "os_inode")
     groups = files.withColumn("__n", F.count("*").over(by)).filter("__n > 1").withColumn("known", F.min("reference_inode").over(by))
     heads = groups.filter("known is null").select("device", "os_inode").distinct()
-    top = files.agg(F.coalesce(F.max("reference_inode"), F.lit(0)).alias("top"))
-    # only groups without a number are counted here, one row each
-    new = heads.crossJoin(F.broadcast(top)).withColumn("new", F.col("top") + F.row_number().over(Window.orderBy("device", "os_inode"))).drop("top")
+    new = numbered(heads, files.select(F.col("reference_inode").alias("id")), "device", "os_inode").withColumnRenamed("id", "new")
     return groups.join(new, ["device", "os_inode"], "left").select("id", F.coalesce("known", "new").alias("inode"))
