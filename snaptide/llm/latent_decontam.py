@@ -25,7 +25,7 @@ COSINE = 0.35
 VERBATIM = 0.75  # share of a passage's words in common subsequence
 PARAPHRASE, ANSWER = 0.5, 0.6  # or this share, if so much of the answer is there too
 MODEL_BYTES = 64 << 20
-MOST_PASSAGES = 0.02  # words in more than this share of the passages carry no weight
+MOST_PASSAGES = 0.02  # words in more than this share of the passages, the corpus's and the benchmark's, weigh nothing
 SLICE_BYTES = 4 << 20
 SEED = 8
 
@@ -151,9 +151,10 @@ class Model:
 
     def __init__(self, parts, vocabulary: Vocabulary, total: int, df: np.ndarray, sketch: np.ndarray):
         self.parts = parts
-        idf = np.where(df > MOST_PASSAGES * max(total, 1), 0.0, np.log((total + 1.0) / (df + 1.0)) + 0.05)
-        if not idf.any():  # nothing but words that are everywhere, as in a tiny corpus
-            idf += 1.0
+        # a word of one or two items keeps its weight however often they leaked
+        held = (_counts(parts, vocabulary) > 0).sum(axis=0)
+        common_word = (df > MOST_PASSAGES * total) & (held > max(2, MOST_PASSAGES * len(parts)))
+        idf = np.where(common_word, 0.0, np.log((total + 1.0) / (df + 1.0)) + 0.05)
         self.spelled, columns = vocabulary.spellings()
         self.columns = np.where((columns >= 0) & (idf[columns] > 0), columns, -1)
         bench = _counts(parts, vocabulary) * idf
@@ -301,7 +302,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, at_word, cosine, lcs, answer, verdict.
 
     Corpus passages are runs of BLOCK words and pairs of neighbouring runs, over whole texts. TF-IDF weights
-    count all of them; words in more than MOST_PASSAGES of them weigh nothing. A random sparse-sign sketch of the corpus, stacked under the benchmark's own vectors,
+    count all of them; words in more than MOST_PASSAGES of
+    them, and of the benchmark's, weigh nothing. A random sparse-sign sketch of the corpus, stacked under the benchmark's own vectors,
     gives the leading right singular vectors; the cosine of a passage is its latent score over the length of its
     vector of benchmark words. Passages at COSINE or more are verified against the words around them: verbatim
     if VERBATIM of the benchmark passage's words are a common subsequence, paraphrase if PARAPHRASE of them are

@@ -154,6 +154,15 @@ def test_paraphrases_are_found(spark, table):
     assert n > 50 and hit >= 0.9 * n
 
 
+@pytest.mark.parametrize("n", [1, 30])
+def test_a_corpus_of_leaks_alone(spark, n):
+    """Words are not taken for common because their passage has leaked everywhere."""
+    item = "Seven curious gardeners measured the copper sundial twice. Its shadow pointed towards the northern orchard."
+    bench = spark.createDataFrame([(1, item), (2, "Entirely different sentences live in this second item of the benchmark today.")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"Before it came this. {item} After it came that.") for i in range(n)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in latent_decontam.contaminated(docs, bench).collect()) == [(i, 1) for i in range(n)]
+
+
 def test_benchmark_in_parts_gives_the_same(spark, table, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(table, bench).collect()}
