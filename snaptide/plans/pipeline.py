@@ -156,6 +156,27 @@ def _remove(e: Engine, _, plain, named):
     return catalog.report(e.tables)
 
 
+def _backup(e: Engine, _, plain, named):
+    """How the source differs from the newest good backup below the target; plans: what to copy and link."""
+    target = plain[1] if plain[1].endswith("/") else plain[1] + "/"
+    source, run = e.newest(plain[0], incl_archive=False), catalog.covering(e.tables["index_run"], target).filter("is_backup")
+    last = transfer.newest_backup(run, e.files).select(F.col("id").alias("__run"))
+    disk = e.files.filter(~F.col("in_archive"))
+    existing = disk.join(F.broadcast(last), F.col("run_id") == F.col("__run"), "left_semi")
+    order = run.select(F.col("id").alias("__run"), (-F.unix_millis("run_date")).alias("__ord"))
+    backed_up = disk.join(F.broadcast(order), F.col("run_id") == F.col("__run")).drop("__run")
+    out = transfer.changes(source, existing)
+    e.plans["backup"] = transfer.backup_plan(source, backed_up)
+    e.plans["backupTotals"] = transfer.totals(out)
+    e.plans["backupSpace"] = transfer.backup_space(source, backed_up)
+    e.plans["backupGate"] = transfer.change_gate(e.plans["backupTotals"], int(named.get("maxchangedfileswarningpercent", 5)), int(named.get("minallowedchanges", 50)))
+    return out
+
+
+def _sync(e: Engine, _, plain, named):
+    return transfer.sync_plan(e.newest(plain[0], False), e.newest(plain[1], False))
+
+
 def _dates(e: Engine, _, plain, named):
     return compare.date_differences(e.newest(plain[0]), e.newest_of(plain[1:]), _yes(named, "ignoreMilliseconds", False))
 
@@ -175,7 +196,7 @@ COMMANDS: dict[str, Callable] = {
     "correctdiffinfilemodificationdate": _dates,
     "correctdiffinfilemodificationdateandexifdatetaken": lambda e, _, p, n: compare.exif_plan(e.newest_of(p, False), int(n.get("ignoresecondsdiff", 0)), int(n.get("ignorehoursdiff", 0))),
     "renamefilestomodificationdate": lambda e, _, p, n: compare.rename_plan(e.newest_of(p, False)),
-    "backup": lambda e, _, p, n: transfer.changes(e.newest(p[0], False), e.newest(p[1], False)),
-    "sync": lambda e, _, p, n: transfer.sync_plan(e.newest(p[0], False), e.newest(p[1], False)),
+    "backup": _backup,
+    "sync": _sync,
 }
 NEED_INPUT = {"filter", "delete", "move", "print"}

@@ -84,16 +84,20 @@ def backup_space(source: DataFrame, backed_up: DataFrame, match: MatchMode = MAT
     return both.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"), some(F.col("__r").isNull()).alias("needed_bytes"), some(F.col("__r").isNotNull()).alias("present_bytes"))
 
 
-def backup_plan(source: DataFrame, backups: list[DataFrame], match: MatchMode = MATCH) -> DataFrame:
+def ordered(backups: list[DataFrame]) -> DataFrame:
+    """Backups, the newest first, as one table with their rank in __ord."""
+    return reduce(lambda x, y: x.unionByName(y), [b.withColumn("__ord", F.lit(i).cast("bigint")) for i, b in enumerate(backups)])
+
+
+def backup_plan(source: DataFrame, backups: list[DataFrame] | DataFrame, match: MatchMode = MATCH) -> DataFrame:
     """id, action and link_to for each source file: a link to the file of a backup that has it (newest backup
     first, then least id), else a copy for the first file of a key and links to that for the others. Empty files
-    are in no backup and are copied or linked among each other. backups come newest first."""
-    if backups:
-        known = reduce(lambda x, y: x.unionByName(y), [A.non_empty(b).withColumn("__ord", F.lit(i)) for i, b in enumerate(backups)])
-        best = keyed(known, match, "__r").groupBy("__r").agg(F.min(F.struct("__ord", "id")).alias("b"))
-        rows = keyed(source, match, "__l").join(best, F.col("__l") == F.col("__r"), "left").withColumn("known", F.col("b.id"))
-    else:
-        rows = keyed(source, match, "__l").withColumn("known", F.lit(None).cast("bigint"))
+    are in no backup and are copied or linked among each other. backups come newest first, or as one table in
+    which a smaller __ord is newer."""
+    if isinstance(backups, list):
+        backups = ordered(backups) if backups else source.limit(0).withColumn("__ord", F.lit(0).cast("bigint"))
+    best = keyed(A.non_empty(backups), match, "__r").groupBy("__r").agg(F.min(F.struct("__ord", "id")).alias("b"))
+    rows = keyed(source, match, "__l").join(best, F.col("__l") == F.col("__r"), "left").withColumn("known", F.col("b.id"))
     w = Window.partitionBy("__l").orderBy("id")
     first = F.first("id").over(w)
     action = F.when(F.col("known").isNotNull(), "link").when(F.row_number().over(w) == 1, "copy").otherwise("link")
@@ -101,6 +105,13 @@ def backup_plan(source: DataFrame, backups: list[DataFrame], match: MatchMode =
     return rows.select("id", "action", "link_to", F.coalesce("file_size", F.lit(0)).alias("bytes"), F.concat("rel", "filename").alias("path"))
 
 
+def newest_backup(index_run: DataFrame, files: DataFrame) -> DataFrame:
+    """The newest backup run that did not fail and holds files, or no row."""
+    good = index_run.filter(F.col("is_backup") & ~F.col("failure_occurred"))
+    filled = good.join(files.select(F.col("run_id").alias("__run")).distinct(), F.col("id") == F.col("__run"), "left_semi")
+    return filled.orderBy(F.desc("run_date"), F.desc("id")).limit(1)
+
+
 def sync_plan(source: DataFrame, target: DataFrame) -> DataFrame:
     """id, change and file_size: files that are new, changed (by second, size or hash) or, of the target, deleted.
 

@@ -173,6 +173,20 @@ def test_pipeline_runs_as_one_plan(spark, tmp_path):
     assert e.run("removeIndex 1").filter("n > 0").count() == 0
 
 
+def test_backup_command_looks_at_all_backups(spark, tmp_path):
+    src, dst, cat = tmp_path / "src", tmp_path / "dst", str(tmp_path / "cat")
+    put(src / "a", b"one")
+    put(src / "b", b"two")
+    put(dst / "2024" / "a", b"one")
+    put(dst / "2025" / "b", b"changed")
+    for d, backup in ((src, False), (dst / "2024", True), (dst / "2025", True)):
+        snapshot(spark, str(d), cat, is_backup=backup)
+    e = Engine(catalog.load(spark, cat))
+    assert {r.filename: r.change for r in e.run(f"backup {src} {dst}").collect()} == {"a": "new", "b": "changed"}
+    assert {r.path: r.action for r in e.plans["backup"].collect()} == {"/a": "link", "/b": "copy"}
+    assert e.plans["backupSpace"].first().needed_bytes == 3 and not e.plans["backupGate"].first().too_many
+
+
 def test_words_and_stages():
     assert tokens('a "b c"  d | e') == ["a", '"b c"', "d", "|", "e"]
     assert stages(tokens("a b | c | d e")) == [["a", "b"], ["c"], ["d", "e"]]
