@@ -159,8 +159,15 @@ def _attempt() -> str:
 
 
 def _published(system, temporary: str, final: str) -> None:
-    """Put a finished file in its place; of several attempts the last one's, all alike, stays."""
-    system.move(temporary, final)
+    """Put a finished file in its place. Attempts make equal files; where a move doesn't replace, the first stays."""
+    from pyarrow import fs
+
+    try:
+        system.move(temporary, final)
+    except OSError:
+        if system.get_file_info(final).type == fs.FileType.NotFound:
+            raise
+        system.delete_file(temporary)
 
 
 def monoliths(pages: DataFrame, folder: str) -> DataFrame:
