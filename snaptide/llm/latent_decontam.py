@@ -18,13 +18,14 @@ from snaptide.llm.common import words
 BLOCK = 16  # words; a corpus passage is two neighbouring blocks
 PART = 64  # longer benchmark texts are cut into passages of this many words
 LEAST_WORDS = 8  # a benchmark passage with fewer words is evidence of nothing
-RANK = 256
+RANK = 256  # of the latent space at least; it grows with the passages of a model, so that none loses its own direction
 SKETCH = 256  # rows of the random sketch of the corpus
 CORPUS_SHARE = 0.1  # weight of the corpus, as a whole, against the benchmark in the SVD
 COSINE = 0.35
 VERBATIM = 0.75  # share of a passage's words in common subsequence
 PARAPHRASE, ANSWER = 0.5, 0.6  # or this share, if so much of the answer is there too
 MODEL_BYTES = 64 << 20
+MODEL_PASSAGES = 1024  # a longer benchmark gets several models
 MOST_PASSAGES = 0.02  # words in more than this share of the passages, the corpus's and the benchmark's, weigh nothing
 SLICE_BYTES = 4 << 20
 SEED = 8
@@ -158,19 +159,13 @@ class Model:
         self.spelled, columns = vocabulary.spellings()
         self.columns = np.where((columns >= 0) & (idf[columns] > 0), columns, -1)
         bench = _counts(parts, vocabulary) * idf
-        if len(bench) > 4 * SKETCH:  # a sketch of the benchmark too, of several times the rank
-            rng = np.random.default_rng(SEED)
-            rows, signs = rng.integers(0, 4 * SKETCH, len(bench)), rng.choice([-1.0, 1.0], len(bench))
-            stacked = np.zeros((4 * SKETCH, bench.shape[1]))
-            np.add.at(stacked, rows, bench * signs[:, None])
-        else:
-            stacked = bench
+        stacked = bench
         corpus = sketch * idf
         norm = np.linalg.norm(corpus)
         if norm > 0:
             stacked = np.vstack([stacked, corpus * (CORPUS_SHARE * np.linalg.norm(stacked) / norm)])
         _, s, vt = np.linalg.svd(stacked, full_matrices=False)
-        basis = vt[: min(RANK, int((s > 1e-9 * s[0]).sum()))].T
+        basis = vt[: min(max(RANK, len(parts)), int((s > 1e-9 * s[0]).sum()))].T
         latent = bench @ basis
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         # scores are linear in a passage's words, so the projection is folded into the benchmark's side
@@ -281,14 +276,14 @@ _SCHEMA = "doc_id bigint, item_id bigint, at_word bigint, cosine double, lcs dou
 
 
 def models(docs: DataFrame, benchmark: DataFrame) -> list[Model]:
-    """A model for each share of the benchmark whose tables stay under MODEL_BYTES; mostly one."""
+    """A model for each share of the benchmark of MODEL_PASSAGES at most whose tables stay under MODEL_BYTES; mostly one."""
     items = benchmark.filter("text is not null").select("item_id", "text").distinct()
     out: list[Model] = []
     held: list[tuple[int, list[str], list[str]]] = []
     seen: set[str] = set()
     for row in items.orderBy("item_id", "text").toLocalIterator():
         for part in passages([(row["item_id"], row["text"])]):
-            if held and (len(seen | set(part[1]))) * (len(held) + 1 + SKETCH) * 4 > MODEL_BYTES:
+            if held and (len(held) == MODEL_PASSAGES or len(seen | set(part[1])) * (len(held) + 1 + SKETCH) * 4 > MODEL_BYTES):
                 out.append(fitted(docs, held))
                 held, seen = [], set()
             held.append(part)

@@ -344,3 +344,21 @@ def test_pipeline_against_a_plain_restatement(spark, duck):
     five = stage["mix"](spark, docs, SF)
     assert sorted((r.doc_id, r.copy) for r in five.collect()) == sorted(duck.execute(f"select doc_id, copy from ({pareto_mix.sql()})").fetchall())
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_verbatim_passages_of_a_long_benchmark(spark):
+    """As many are found with more benchmark passages than RANK, and with more than a model takes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 500").select("doc_id", "text")
+    rng, items, n = random.Random(8), [], 1200
+    hosts = [r.text.split() for r in docs.orderBy("doc_id").collect()]
+    hosts = [h for h in hosts if len(h) >= 80]
+    while len(items) < n:
+        host, size = rng.choice(hosts), rng.randrange(20, 60)
+        at = rng.randrange(len(host) - size)
+        items.append((len(items), " ".join(host[at : at + size])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    models = latent_decontam.models(docs, bench)
+    assert sum(len(m.parts) for m in models) >= 1000
+    planted = [(i, " ".join([*(host := rng.choice(hosts))[:40], text, *host[40:80]])) for i, text in items[::6]]
+    hit = sum(any(h[1] == i for m in models for h in latent_decontam.found(pa.array([text]), m)) for i, text in planted)
+    assert hit >= 0.9 * len(planted)
