@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 WINDOW = 400  # characters between the intervals of two parts that belong together
 
 _ASSIGN = r"""["']?[ \t]{0,4}(?:=|:)[ \t]{0,4}["']?"""
-#: One alternation, in this order: a part starts where the first of them matches.
+#: Each is looked for by itself, so a part may lie within another, as a secret does in a URL's query.
 SECRET_STRONG = rf"(?:api[_-]?key|secret(?:[_-]?(?:access[_-]?)?key)?|access[_-]?token|auth[_-]?token|token|passw(?:or)?d|pwd){_ASSIGN}[A-Za-z0-9/+_=.-]{{12,200}}"
 SECRET_WEAK = r"[0-9a-f]{32,128}|[A-Za-z0-9/+]{40}={0,2}"
 IDENTIFIER = rf"A[KS]IA[0-9A-Z]{{16}}|(?:access[_-]?key[_-]?id|client[_-]?id|account|user(?:name)?|login){_ASSIGN}[A-Za-z0-9._@+-]{{3,64}}|[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{1,5}}"
 ENDPOINT = r"https?://[^ \t\n\r\"'<>]{4,300}|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?::[0-9]{1,5})?"
 ANY_SECRET = f"(?i)(?:{SECRET_STRONG}|{SECRET_WEAK})"
+#: For the SQL, which takes parts by one alternation, in this order.
 ANY_PART = f"(?i)(?:{SECRET_STRONG}|{IDENTIFIER}|{ENDPOINT}|{SECRET_WEAK})"
 #: The digits and mixed letters that a weak secret has at least; else it is a word.
 WEAK_DIGITS = 4
@@ -25,38 +26,71 @@ def _digits(value: Column) -> Column:
     return F.length(value) - F.length(F.translate(value, "0123456789", ""))
 
 
-def _kind(value: Column) -> Column:
-    return (
-        F.when(value.rlike(f"(?i)^(?:{SECRET_STRONG})$"), "secret")
-        .when(value.rlike(f"(?i)^(?:{IDENTIFIER})$"), "identifier")
-        .when(value.rlike(f"(?i)^(?:{ENDPOINT})$"), "endpoint")
-        .otherwise("weak secret")
-    )
+KINDS = {"secret": SECRET_STRONG, "identifier": IDENTIFIER, "endpoint": ENDPOINT, "weak secret": SECRET_WEAK}
 
 
 def pairs_of(gaps, sizes, kinds, digits, window: int) -> list[dict]:
     """The interval join within one scope: secrets with the identifiers and endpoints in their window.
 
-    Parts come in order and apart, so starts and stops both ascend and a window is a range found by bisection.
+    Parts come in the order of their starts; a gap is below 0 where a part begins within the one before it. A weak
+    secret is linked only to parts beside it, not to one that it lies in or that lies in it.
     """
-    stops = np.cumsum(np.asarray(gaps[: len(sizes)], dtype=np.int64) + np.asarray(sizes, dtype=np.int64))
-    starts = stops - np.asarray(sizes, dtype=np.int64)
+    sizes = np.asarray(sizes, dtype=np.int64)
+    stops = np.cumsum(np.asarray(gaps[: len(sizes)], dtype=np.int64) + sizes)
+    starts = stops - sizes
     partner = np.flatnonzero(np.isin(kinds, ("identifier", "endpoint")))
+    longest = sizes[partner].max(initial=0)
     out = []
     for i, (kind, n) in enumerate(zip(kinds, digits)):
         if kind == "secret" or (kind == "weak secret" and n >= WEAK_DIGITS):
-            low, high = np.searchsorted(stops[partner], starts[i] - window), np.searchsorted(starts[partner], stops[i] + window, side="right")
-            near = partner[low:high].tolist()
-            for p in near or [None] * (kind == "secret"):
-                gap = None if p is None else int(max(starts[p] - stops[i], starts[i] - stops[p]))
+            low, high = np.searchsorted(starts[partner], starts[i] - window - longest), np.searchsorted(starts[partner], stops[i] + window, side="right")
+            near = partner[low:high]
+            near = near[stops[near] >= starts[i] - window]
+            if kind == "weak secret":
+                first, last = starts[near] - starts[i], stops[near] - stops[i]
+                near = near[~(((first <= 0) & (last >= 0)) | ((first >= 0) & (last <= 0)))]
+            for p in near.tolist() or [None] * (kind == "secret"):
+                gap = None if p is None else int(max(0, starts[p] - stops[i], starts[i] - stops[p]))
                 out.append({"s": i, "s_at": int(starts[i]), "p": p, "p_at": None if p is None else int(starts[p]), "gap": gap})
     return out
 
 
+def _bare(starts: np.ndarray, stops: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which parts stay: all but weak secrets that are (part of) a strong one or lie within an identifier."""
+    stay = np.ones(len(kinds), dtype=bool)
+    weak = np.flatnonzero(kinds == "weak secret")
+    for kind in ("secret", "identifier"):
+        other = np.flatnonzero(kinds == kind)  # of one kind, so in order and apart
+        if len(other) and len(weak):
+            if kind == "secret":
+                k = np.searchsorted(stops[other], starts[weak], side="right")
+                hit = (k < len(other)) & (starts[other[np.minimum(k, len(other) - 1)]] < stops[weak])
+            else:
+                k = np.searchsorted(starts[other], starts[weak], side="right") - 1
+                hit = (k >= 0) & (stops[other[np.maximum(k, 0)]] >= stops[weak])
+            stay[weak[hit]] = False
+    return stay
+
+
+def _in_scope(gaps, sizes, kinds, digits, window: int) -> list[dict]:
+    """pairs_of() over parts that come kind by kind, each kind's gaps from the text's begin."""
+    kinds, digits, sizes, steps = np.asarray(kinds, dtype=object), np.asarray(digits), np.asarray(sizes, dtype=np.int64), np.asarray(gaps, dtype=np.int64)
+    stops = np.zeros(len(sizes), dtype=np.int64)
+    for kind in KINDS:
+        own = kinds == kind
+        stops[own] = np.cumsum(steps[own] + sizes[own])
+    starts = stops - sizes
+    order = np.flatnonzero(_bare(starts, stops, kinds))
+    order = order[np.lexsort((stops[order], starts[order]))]
+    before = np.concatenate([[0], stops[order][:-1]])
+    found = pairs_of(starts[order] - before, sizes[order], kinds[order], digits[order], window)
+    return [x | {"s": int(order[x["s"]]), "p": None if x["p"] is None else int(order[x["p"]])} for x in found]
+
+
 def _joiner(window: int):
     @F.pandas_udf("array<struct<s:int,s_at:bigint,p:int,p_at:bigint,gap:bigint>>")
     def join(gaps: pd.Series, sizes: pd.Series, kinds: pd.Series, digits: pd.Series) -> pd.Series:
-        return pd.Series([pairs_of(g, n, k, d, window) for g, n, k, d in zip(gaps, sizes, kinds, digits)])
+        return pd.Series([_in_scope(g, n, k, d, window) for g, n, k, d in zip(gaps, sizes, kinds, digits)])
 
     return join
 
@@ -64,10 +98,11 @@ def _joiner(window: int):
 def linked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per secret and linked part: doc_id, secret_at, secret_kind, secret_md5, part_kind, part_at, part, gap.
 
-    A document is a scope. A secret and an identifier or endpoint are linked if the one's interval, widened by
+    A document is a scope. Parts may overlap; their gap is then 0. A secret and an identifier or endpoint are linked if the one's interval, widened by
     window characters, meets the other's. A strong secret, one that a name is assigned to, is reported even
     without partner (part columns null); a weak one, a bare run of hexadecimal or base64 digits with WEAK_DIGITS
-    digits or more, only with one. Identifiers and endpoints alone are never reported. Secrets show only as MD5s
+    digits or more, only with one beside it, and not if it belongs to a strong secret or lies within an identifier.
+    Identifiers and endpoints alone are never reported. Secrets show only as MD5s
     of what matched. Null and empty texts give nothing; repeated rows report each; a null doc_id is reported as
     null; other columns are ignored. Ties need no order: all partners in the window are reported.
 
@@ -76,18 +111,25 @@ def linked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     base = docs.select("doc_id", F.col("text").alias("body")).filter(F.col("body").rlike(ANY_SECRET))
     # generators keep the optimiser from copying the expressions into each use
-    found, text = F.regexp_extract_all("body", F.lit(ANY_PART), F.lit(0)), F.col("body")
-    parts = base.select("doc_id", F.explode(F.array(F.struct(found.alias("v"), F.transform(F.split(text, ANY_PART, -1), F.length).alias("gaps")))).alias("m"))
-    v = F.col("m.v")
-    pairs = _joiner(window)(F.col("m.gaps"), F.transform(v, F.length), F.transform(v, _kind), F.transform(v, _digits))
-    rows = parts.select("doc_id", v.alias("v"), F.explode(pairs).alias("x"))
+    each = []
+    for k, pattern in enumerate(KINDS.values()):
+        whole = f"(?i)(?:{pattern})"
+        each += [F.regexp_extract_all("body", F.lit(whole), F.lit(0)).alias(f"v{k}"), F.transform(F.split("body", whole, -1), F.length).alias(f"gaps{k}")]
+    apart = base.select("doc_id", F.explode(F.array(F.struct(*each))).alias("m"))
+    values = [F.col(f"m.v{k}") for k in range(len(KINDS))]
+    gaps = F.concat(*(F.slice(F.col(f"m.gaps{k}"), F.lit(1), F.size(v)) for k, v in enumerate(values)))
+    kinds = F.concat(*(F.array_repeat(F.lit(kind), F.size(v)) for kind, v in zip(KINDS, values)))
+    parts = apart.select("doc_id", F.explode(F.array(F.struct(F.concat(*values).alias("v"), gaps.alias("gaps"), kinds.alias("kinds")))).alias("m"))
+    v, kinds = F.col("m.v"), F.col("m.kinds")
+    pairs = _joiner(window)(F.col("m.gaps"), F.transform(v, F.length), kinds, F.transform(v, _digits))
+    rows = parts.select("doc_id", v.alias("v"), kinds.alias("kinds"), F.explode(pairs).alias("x"))
     secret, part = F.get("v", F.col("x.s")), F.get("v", F.col("x.p"))
     return rows.select(
         "doc_id",
         F.col("x.s_at").alias("secret_at"),
-        _kind(secret).alias("secret_kind"),
+        F.get("kinds", F.col("x.s")).alias("secret_kind"),
         F.md5(secret).alias("secret_md5"),
-        F.when(part.isNotNull(), _kind(part)).alias("part_kind"),
+        F.get("kinds", F.col("x.p")).alias("part_kind"),
         F.col("x.p_at").alias("part_at"),
         part.alias("part"),
         F.col("x.gap").alias("gap"),

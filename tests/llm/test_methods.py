@@ -281,6 +281,21 @@ def test_interval_join_against_all_pairs(parts, window):
     assert {(r["s"], r["p"]) for r in secret_link.pairs_of(gaps, sizes, kinds, digits, window)} == want
 
 
+def test_parts_within_parts(spark):
+    """A URL or an identifier doesn't hide the secret in it."""
+    key = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    url = f"https://api.example.com/v1?client_id=abcd1234&token={key}"
+    texts = [url, f"user: token={key}", f"https://x.example/commit/{key} alone", f"client_id={key} at https://h.example/api", f"https://x.example/?k={key} for a@b.example"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.secret_kind, r.secret_at, r.part_kind, r.part, r.gap) for r in secret_link.linked(docs).collect())
+    assert got == [
+        (0, "secret", url.index("token"), "endpoint", url, 0),
+        (0, "secret", url.index("token"), "identifier", "client_id=abcd1234", 1),
+        (1, "secret", 6, "identifier", "user: token", 0),
+        (4, "weak secret", 21, "identifier", "a@b.example", 5),
+    ]
+
+
 # --- WARC ---
 records = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 99)), st.one_of(st.none(), st.text(max_size=20)), st.one_of(st.none(), st.text(max_size=300))), max_size=8)
 
