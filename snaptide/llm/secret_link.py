@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +20,15 @@ ENDPOINT = r"https?://[^ \t\n\r\"'<>]{4,300}|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\
 ANY_SECRET = f"(?i)(?:{SECRET_STRONG}|{SECRET_WEAK})"
 #: For the SQL, which takes parts by one alternation, in this order.
 ANY_PART = f"(?i)(?:{SECRET_STRONG}|{IDENTIFIER}|{ENDPOINT}|{SECRET_WEAK})"
-#: The digits and mixed letters that a weak secret has at least; else it is a word.
+#: The digits that a weak secret has at least, or else the letters of either case; else it is a word. Of random base64
+#: keys 11 % have fewer digits, fewer than one in a million fewer of all three.
 WEAK_DIGITS = 4
 
 
 def _digits(value: Column) -> Column:
-    return F.length(value) - F.length(F.translate(value, "0123456789", ""))
+    """The digits, or if that is more, the letters of the rarer case."""
+    count = lambda these: F.length(value) - F.length(F.translate(value, these, ""))
+    return F.greatest(count("0123456789"), F.least(count(ascii_uppercase), count(ascii_lowercase)))
 
 
 KINDS = {"secret": SECRET_STRONG, "identifier": IDENTIFIER, "endpoint": ENDPOINT, "weak secret": SECRET_WEAK}
@@ -101,7 +106,7 @@ def linked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A document is a scope. Parts may overlap; their gap is then 0. A secret and an identifier or endpoint are linked if the one's interval, widened by
     window characters, meets the other's. A strong secret, one that a name is assigned to, is reported even
     without partner (part columns null); a weak one, a bare run of hexadecimal or base64 digits with WEAK_DIGITS
-    digits or more, only with one beside it, and not if it belongs to a strong secret or lies within an identifier.
+    digits, or letters of either case, or more, only with one beside it, and not if it belongs to a strong secret or lies within an identifier.
     Identifiers and endpoints alone are never reported. Secrets show only as MD5s
     of what matched. Null and empty texts give nothing; repeated rows report each; a null doc_id is reported as
     null; other columns are ignored. Ties need no order: all partners in the window are reported.
