@@ -118,27 +118,60 @@ def test_common_subsequences(a, b):
     assert len(at) == n and at == sorted(set(at)) and all(a[i] in it for i in at)
 
 
-def test_leaks_are_found_and_clean_documents_left(spark, table):
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = {r.item_id: r.text for r in bench.collect()}
-    words = lambda t: re.findall(r"\w+", t.lower())
-    docs = table.collect()
-    truth = set()
+def leaks_by_brute_force(docs, items):
+    """(doc_id, item_id) of every benchmark passage in every document: no vectors, all windows of a document."""
+    out = set()
+    parts = latent_decontam.passages(items)
     for r in docs:
-        w = " ".join(words(r.text))
-        truth |= {(r.doc_id, i) for i, t in items.items() if len(words(t)) >= 8 and " ".join(words(t)) in w}
-    got = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(table, bench).collect()}
-    assert truth and truth <= got
-    for d, i in got - truth:  # brute force over the whole document agrees that it is one
-        text = next(r.text for r in docs if r.doc_id == d)
-        assert latent_decontam.judged(words(items[i]), words(items[i])[-5:], words(text))[2]
-    clean = {r.doc_id for r in latent_decontam.kept(table, bench).collect()}
-    assert clean == {r.doc_id for r in docs} - {d for d, _ in got}
+        tokens = latent_decontam.words(r.text)
+        for item, part, answer in parts:
+            for at in range(0, max(1, len(tokens)), latent_decontam.BLOCK):
+                region = tokens[max(0, at - len(part) - latent_decontam.BLOCK) : at + len(part) + 2 * latent_decontam.BLOCK]
+                if (r.doc_id, item) not in out and latent_decontam.judged(part, answer, region)[2]:
+                    out.add((r.doc_id, item))
+    return out
+
+
+def test_leaks_against_all_documents_and_items(spark, table):
+    """Longest common subsequences of all documents and items, with planted leaks of changed words among them."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    rng, hosts = random.Random(4), [r.text.split() for r in table.collect() if 100 < len(r.text.split()) < 600]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table.collect() if len(r.text) < 6000]
+    for k in range(60):
+        host, text = rng.choice(hosts), edited(rng.choice(items)[1], rng, 0.3 * (k % 3) / 2)
+        at = rng.randrange(len(host))
+        rows.append((50_000 + k, " ".join([*host[:at], text, *host[at:]]), "en", "s", 1))
+    docs = spark.createDataFrame(rows, table.schema)
+    want = leaks_by_brute_force(docs.collect(), items)
+    got = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(docs, bench).collect()}
+    assert got <= want and len(want) > 50 and len(got) >= 0.95 * len(want)
+    assert {r.doc_id for r in latent_decontam.kept(docs, bench).select("doc_id").collect()} == {r[0] for r in rows} - {d for d, _ in got}
+
+
+WRITTEN = {
+    "plain": " ".join, "bold": lambda w: " ".join(f"**{x}**" for x in w), "quotes": lambda w: " ".join(f"\u201c{x}\u201d" for x in w), "tags": lambda w: " ".join(f"<b class='x'>{x}</b>" for x in w),
+    "brackets": lambda w: " ".join(f"[{x}]" for x in w), "hyphens": "-".join, "underscores": "_".join, "slashes": "/".join, "breaks": "<br>".join, "capitals": lambda w: " ".join(w).upper(), "entities": "&nbsp;".join,
+}
+
+
+def test_leaks_in_any_writing(spark, table):
+    """A passage is found whatever signs stand between its words; scripts without blanks and short items too."""
+    item = "Seven curious gardeners measured the copper sundial twice before its shadow pointed towards the northern orchard"
+    short, chinese, japanese = "What is the capital of France?", "\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f\u5df4\u9ece\u662f\u6cd5\u56fd\u7684\u9996\u90fd\u3002", "\u5bcc\u58eb\u5c71\u306f\u65e5\u672c\u3067\u4e00\u756a\u9ad8\u3044\u5c71\u3067\u3059\u3002"
+    bench = spark.createDataFrame([(1, item), (2, short), (3, chinese), (4, japanese), (5, "Yes"), (6, "Where do the river otters sleep in winter")], "item_id bigint, text string")
+    host = next(r.text.split() for r in table.collect() if len(r.text.split()) > 120)
+    around = lambda text: " ".join([*host[:50], text, *host[50:100]])
+    texts = [around(f(item.split())) for f in WRITTEN.values()] + [around(short), around("x\u4e2d\u6587" + chinese + "\u4e2d"), around(japanese), "yes!", around("yes"), around("what is the big capital of France")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    n = len(WRITTEN)
+    got = sorted((r.doc_id, r.item_id) for r in latent_decontam.contaminated(docs, bench).collect())
+    assert got == [(i, 1) for i in range(n)] + [(n, 2), (n + 1, 3), (n + 2, 4), (n + 3, 5)]
 
 
 def test_paraphrases_are_found(spark, table):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    model = latent_decontam.models(table, bench)[0]
+    model = latent_decontam.model_of(table, bench)
     rng = random.Random(3)
     hosts = [r.text for r in table.filter("length(text) > 500").limit(40).collect()]
     hit = n = 0
@@ -163,12 +196,24 @@ def test_a_corpus_of_leaks_alone(spark, n):
     assert sorted((r.doc_id, r.item_id) for r in latent_decontam.contaminated(docs, bench).collect()) == [(i, 1) for i in range(n)]
 
 
-def test_benchmark_in_parts_gives_the_same(spark, table, monkeypatch):
+def test_the_leading_directions():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    parts = [(i, [words[k] for k in rng.integers(0, 60, 30)], []) for i in range(25)]
+    bench = latent_decontam.Counts(parts, pa.array(words))
+    dense = np.zeros(bench.shape)
+    np.add.at(dense, (bench.row, bench.column), bench.value)
+    corpus, x = rng.standard_normal((8, 60)) * 0.2, rng.standard_normal((60, 5))
+    assert np.allclose(bench.times(x), dense @ x) and np.allclose(bench.times(x[:25], transposed=True), dense.T @ x[:25])
+    basis, (_, s, vt) = latent_decontam.leading(bench, corpus, 12), np.linalg.svd(np.vstack([dense, corpus]), full_matrices=False)
+    assert np.allclose(basis.T @ basis, np.eye(12), atol=1e-8)
+    assert np.linalg.norm(np.vstack([dense, corpus]) @ basis) >= 0.999 * np.linalg.norm(s[:12])
+
+
+def test_sums_meet_whatever_the_parts(spark, table):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    whole = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(table, bench).collect()}
-    monkeypatch.setattr(latent_decontam, "MODEL_BYTES", 800_000)
-    assert len(latent_decontam.models(table, bench)) > 1
-    assert {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(table, bench).collect()} == whole
+    one, two = (latent_decontam.model_of(table.select("doc_id", "text").repartition(n), bench) for n in (1, 7))
+    assert np.allclose(one.weight, two.weight, rtol=1e-5) and np.allclose(one.table, two.table, atol=1e-3)
 
 
 # --- page differencing ---
@@ -371,7 +416,7 @@ def test_pipeline_against_a_plain_restatement(spark, duck):
 
 
 def test_verbatim_passages_of_a_long_benchmark(spark):
-    """As many are found with more benchmark passages than RANK, and with more than a model takes."""
+    """As many are found with more benchmark passages than the latent space has directions."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 500").select("doc_id", "text")
     rng, items, n = random.Random(8), [], 1200
     hosts = [r.text.split() for r in docs.orderBy("doc_id").collect()]
@@ -380,9 +425,8 @@ def test_verbatim_passages_of_a_long_benchmark(spark):
         host, size = rng.choice(hosts), rng.randrange(20, 60)
         at = rng.randrange(len(host) - size)
         items.append((len(items), " ".join(host[at : at + size])))
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
-    models = latent_decontam.models(docs, bench)
-    assert sum(len(m.parts) for m in models) >= 1000
+    model = latent_decontam.model_of(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert len(model.parts) >= 1000 and model.latent is not None
     planted = [(i, " ".join([*(host := rng.choice(hosts))[:40], text, *host[40:80]])) for i, text in items[::6]]
-    hit = sum(any(h[1] == i for m in models for h in latent_decontam.found(pa.array([text]), m)) for i, text in planted)
-    assert hit >= 0.9 * len(planted)
+    hit = sum(any(h[1] == i for h in latent_decontam.found(pa.array([text]), model)) for i, text in planted)
+    assert hit >= 0.98 * len(planted)
