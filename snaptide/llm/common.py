@@ -21,9 +21,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of this machine where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, it is a folder of this machine if the session runs
+    within one process (tests), and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="snaptide-")
@@ -75,6 +78,30 @@ def checked_broadcast(df: DataFrame, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if small(df, bytes_a_row) else df
 
 
+class Renamed:
+    """A table under plain column names (c0, c1, ...), so that no name of its own meets one of an operator's or is
+    read as a path; back() gives the own names again."""
+
+    def __init__(self, table: DataFrame):
+        self.names = table.columns
+        self.df = table.toDF(*(f"c{i}" for i in range(len(self.names))))
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.name_of(name))
+
+    def name_of(self, name: str) -> str:
+        found = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not found:
+            raise KeyError(f"there is no column {name}")
+        return f"c{found[0]}"
+
+    def back(self, df: DataFrame, put: dict[str, Column] | None = None) -> DataFrame:
+        """df's columns of the table, those in put replaced, and the other ones of put at the end."""
+        rest = dict(put or {})
+        out = [(rest.pop(n) if n in rest else F.col(f"c{i}")).alias(n) for i, n in enumerate(self.names)]
+        return df.select(*out, *(c.alias(n) for n, c in rest.items()))
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(name), F.lit(""))

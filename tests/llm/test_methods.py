@@ -60,15 +60,79 @@ def test_near_copies_against_all_pairs(spark, table):
     assert all(want[a] == want[b] for a, b in got.items())  # nothing else is put together
 
 
+def flipped(prints, bits, rng):
+    """Copies of fingerprints with so many random bits turned over."""
+    flips = np.zeros((len(prints), simhash_pivots.BITS), dtype=np.uint8)
+    for row in flips:
+        row[rng.permutation(simhash_pivots.BITS)[:bits]] = 1
+    return prints ^ np.packbits(flips, axis=1).view(np.uint64)
+
+
+def random_prints(n, rng):
+    return rng.integers(0, 1 << 64, (n, simhash_pivots.WORDS64), dtype=np.uint64)
+
+
 def test_pivot_table_never_discards_a_near_pair():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 63, (500, simhash_pivots.WORDS64), dtype=np.uint64)
-    flips = np.zeros((500, simhash_pivots.BITS), dtype=np.uint8)
-    for row in flips:
-        row[rng.permutation(simhash_pivots.BITS)[: simhash_pivots.THRESHOLD]] = 1
-    b = a ^ np.packbits(flips, axis=1).view(np.uint64)
-    table = simhash_pivots.pivot_table(np.concatenate([a, b]))
-    assert simhash_pivots._linked(np.concatenate([a, b]), table, np.arange(500), np.arange(500, 1000)).all()
+    a = random_prints(500, rng)
+    both = np.concatenate([a, flipped(a, simhash_pivots.THRESHOLD, rng)])
+    table = simhash_pivots.pivot_table(both)
+    assert simhash_pivots._linked(both, table, np.arange(500), np.arange(500, 1000)).all()
+    far = simhash_pivots.coordinate_gap(table, np.arange(499), np.arange(1, 500)) > simhash_pivots.THRESHOLD
+    assert far.mean() > 0.97  # of pairs that aren't near
+
+
+def test_the_largest_coordinate_difference():
+    """The gap is attained by a reference that is constant on blocks, and none has more."""
+    rng = np.random.default_rng(3)
+    a, b = random_prints(1, rng), random_prints(1, rng)
+    table = simhash_pivots.pivot_table(np.concatenate([a, b])).astype(int)
+    gap = int(simhash_pivots.coordinate_gap(table.astype(np.int8), np.array([0]), np.array([1]))[0])
+
+    def reference(blocks):
+        octets = [(15 << 4 if blocks[i] else 0) | (15 if blocks[16 + i] else 0) for i in range(16)]
+        return np.array([octets], dtype=np.uint8).view(np.uint64)
+
+    def difference(ref):
+        return abs(int(simhash_pivots.distance(a, ref)[0]) - int(simhash_pivots.distance(b, ref)[0]))
+
+    assert difference(reference(table[0] > table[1])) == gap
+    assert max(difference(reference(rng.integers(0, 2, 32))) for _ in range(300)) <= gap
+
+
+@pytest.mark.parametrize("bits", [16, 20, 22])
+@pytest.mark.parametrize("n", [400, 40_000])
+def test_recall_by_distance(spark, bits, n):
+    """Pairs of distinct fingerprints at a distance, among n others."""
+    rng = np.random.default_rng(bits)
+    a = random_prints(300, rng)
+    b = flipped(a, bits, rng)
+    prints = np.concatenate([a, b, random_prints(n, rng)]).view(np.int64)
+    import pandas as pd
+
+    frame = pd.DataFrame({"node": simhash_pivots.node_of(prints.view(np.uint64)), "f0": prints[:, 0], "f1": prints[:, 1]})
+    got = {(r.a, r.b) for r in simhash_pivots.near_pairs(spark.createDataFrame(frame, "node bigint, f0 bigint, f1 bigint")).collect()}
+    want = {(min(x, y), max(x, y)) for x, y in zip(frame.node[:300], frame.node[300:600])}
+    assert got <= want and len(got) >= (0.9 if bits == 22 else 0.95) * 300
+
+
+def test_dense_buckets(spark):
+    """A bucket of thousands, in groups that a chain of copies connects, through keys of its own."""
+    rng = np.random.default_rng(9)
+    seeds = random_prints(40, rng)
+    prints = np.concatenate([seeds, *(flipped(seeds, 4, rng) for _ in range(60))])
+    a, b = simhash_pivots._pairs_in(np.zeros(len(prints), np.int64), prints, simhash_pivots.LEAST_KEY_BITS)
+    seat = {int(x): i for i, x in enumerate(simhash_pivots.node_of(prints))}
+    label = simhash_pivots._joined(np.arange(len(prints)), np.array([seat[x] for x in a.tolist()]), np.array([seat[x] for x in b.tolist()]))
+    assert (label == np.tile(np.arange(40), 61)).all() and len(a) == len(prints) - 40
+
+
+@pytest.mark.parametrize("limits", [(1 << 25, 1 << 25), (0, 1 << 25), (0, 0)])
+def test_kept_in_all_three_ways(spark, table, limits):
+    rows = table.limit(60).collect()
+    docs = spark.createDataFrame([*rows, *rows[:7], *((r.doc_id + 10_000, *r[1:]) for r in rows[:20])], table.schema)
+    got = sorted(r.doc_id for r in simhash_pivots.kept(docs, *limits).collect())
+    assert got == sorted(r.doc_id for r in simhash_pivots.grouped(docs).collect() if r.keep) and len(got) == len(set(got))
 
 
 def test_large_buckets_connect_as_all_pairs_do():
