@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, repeats, empty tables and clashing names through every operator and stage."""
 
+import random
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
@@ -55,12 +58,42 @@ def test_decontamination(odd, none, bench):
 def test_mixing(odd, none):
     out = pareto_mix.mixed(odd)
     rows = out.collect()
-    assert {r.source for r in rows} <= {"a", "b", "c", None} and abs(len(rows) - 11) <= 2
+    assert {r.source for r in rows} <= {"a", "b", "c", None} and len(rows) == 11
     assert sorted(out.columns) == sorted(odd.columns)
     assert pareto_mix.mixed(none).count() == 0
     assert pareto_mix.mixed(odd, weights={}).count() == 0
     only = pareto_mix.mixed(odd, weights={"c": 1.0}, total=9).collect()
     assert len(only) == 9 and {r.source for r in only} == {"c"}
+    tiny = pareto_mix.mixed(odd, weights={"a": 1.0, "c": 1e-9, "b": 0.0}, total=1000)
+    assert {r.source: r["count"] for r in tiny.groupBy("source").count().collect()} == {"a": 1000}
+    assert pareto_mix.scaled({"a": 1.0, "c": 1e-9, None: 1e-20}) == [("a", 1 << 40), ("c", 1100), (None, 1)]
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            pareto_mix.scaled({"a": bad})
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_mixing_gives_what_is_due(spark, most):
+    """Exactly the due copies of every source, with rows that repeat and sizes of no sense; and none too often."""
+    rng = random.Random(most)
+    weights = {f"s{k}": rng.choice([0.1, 1.0, 1.0, 7.5]) for k in range(60)}
+    rows = [(rng.randrange(rng.choice([1, 4, 50])), s, rng.choice([None, -5, -1, 0, 3, 3, 1000])) for s in weights for _ in range(rng.randrange(1, 14))]
+    n = Counter(s for _, s, _ in rows)
+    got, each = Counter(), Counter()
+    for r in pareto_mix.mixed(spark.createDataFrame(rows, "doc_id bigint, source string, n_chars bigint"), weights, 500, most_copies=most).collect():
+        got[r.source] += 1
+        each[r.source] = max(each[r.source], r.copy)
+    assert got.total() == 500
+    for s, w in weights.items():
+        assert abs(got[s] - 500 * w / sum(weights.values())) < 1 and each[s] <= max(most, -(-got[s] // n[s]))
+
+
+def test_mixing_cuts_ties(spark):
+    """Six equal rows and one more, two copies due."""
+    docs = spark.createDataFrame([(1, "a", 5)] * 6 + [(2, "a", 9)], "doc_id bigint, source string, n_chars bigint")
+    for seed in "c":
+        for total in (1, 2):
+            assert pareto_mix.mixed(docs, {"a": 1.0}, total, seed=seed).count() == total
 
 
 def test_language(odd, none):
