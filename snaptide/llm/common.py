@@ -7,7 +7,11 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +116,17 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive parts of about size bytes, with the row each begins at."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    low = 0
+    while low < len(texts):
+        base = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, base + size)))
+        yield low, texts.slice(low, high - low)
+        low = high
+
+
 class HashMemo(dict):
     """Word -> 64-bit hash, remembered; emptied when it has grown large."""
 

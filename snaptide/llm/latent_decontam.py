@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snaptide.llm.common import slices
+
 BLOCK = 16  # words; a corpus passage is two neighbouring blocks
 PART = 64  # longer benchmark texts are cut into passages of this many words
 FEW_WORDS = 8  # a benchmark passage with fewer words must be there as one run
@@ -24,7 +26,7 @@ COSINE = 0.35
 VERBATIM = 0.75  # share of a passage's words in common subsequence
 PARAPHRASE, ANSWER = 0.5, 0.6  # or this share, if so much of the answer is there too
 SLICE_BYTES = 4 << 20
-SCORES = 1 << 21  # scores held at once
+SCORES = 1 << 17  # scores held at once
 SEED = 8
 
 _MARKUP = r"<[/a-z][^<>]{0,300}>|&#?[a-z0-9]{1,8};"
@@ -95,17 +97,6 @@ class Running:
         return self.tokens[low:high].to_pylist()
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Consecutive parts of about SLICE_BYTES."""
-    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
-    low = 0
-    while low < len(texts):
-        base = size[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(size, base + SLICE_BYTES)))
-        yield low, texts.slice(low, high - low)
-        low = high
-
-
 _SUMS = "part int, salt int, total bigint, body binary"
 _ROWS = SKETCH // 8  # of the sketch, in a row of a sum
 
@@ -127,7 +118,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array) -> Iter
     df, sketch, total = np.zeros(width), np.zeros(SKETCH * width), 0
     for b in batches:
         ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-        for low, texts in _slices(b.column(1)):
+        for low, texts in slices(b.column(1), SLICE_BYTES):
             run = Running(texts, vocabulary)
             total += int(run.before[-1])
             if not len(run.at):
@@ -226,7 +217,8 @@ class Model:
         table = idf[:, None] * space
         # scores are linear in a passage's words: with few passages the projection is folded into their side
         folded = len(parts) <= space.shape[1]
-        self.table = (table @ latent.T if folded else table).astype(np.float32)
+        table = table @ latent.T if folded else table
+        self.table = np.vstack([table, np.zeros(table.shape[1])]).astype(np.float32)
         self.latent = None if folded else latent.T.astype(np.float32)
         #: a passage of few words is a small part of the window around it
         self.gate = np.array([COSINE * min(1.0, weight_of(part) / FEW_WORDS) ** 0.5 for _, part, _ in parts], dtype=np.float32)
@@ -282,7 +274,7 @@ def judged(part: list[str], answer: list[str], region: list[str]) -> tuple[float
 
 def found(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, int, float, float, float, str]]:
     """(row, item, word the passage starts at, cosine, lcs, answer, verdict) of the benchmark passages in texts."""
-    for low, part in _slices(texts):
+    for low, part in slices(texts, SLICE_BYTES):
         for hit in _found(part, model):
             yield (low + hit[0], *hit[1:])
 
@@ -301,11 +293,16 @@ def _found(texts: pa.Array, model: Model) -> list[tuple]:
     next_of[follows + 1] = follows  # seats whose words also count for the passage that begins a block earlier
     pair_norm = _norms(np.concatenate([run.columns, run.columns]), np.concatenate([seat, next_of[seat]]), len(starts), model)
     best: dict[tuple[int, int], tuple] = {}
+    # the words of each block, filled up with one that weighs nothing
+    seats = np.full((len(starts), BLOCK), len(model.table) - 1)
+    seats[seat, np.arange(len(place)) - starts[seat]] = run.columns
     at_once = max(16, SCORES // max(len(model.parts), model.table.shape[1]))
-    for lo in range(0, len(starts), at_once):  # the scores of so many blocks at once; the next one's first is seen twice
+    for lo in range(0, len(starts), at_once):  # the scores of so many blocks at once, within the cache; the next one's first is seen twice
         hi = min(lo + at_once + 1, len(starts))
-        end = starts[hi] if hi < len(starts) else len(place)
-        near = model.scores(np.add.reduceat(model.table[run.columns[starts[lo] : end]], starts[lo:hi] - starts[lo], axis=0))
+        near = model.table[seats[lo:hi, 0]]
+        for k in range(1, BLOCK):
+            near += model.table[seats[lo:hi, k]]
+        near = model.scores(near)
         pairs = follows[(follows >= lo) & (follows < hi - 1)]
         for score, size, where in ((near, norm[lo:hi], np.arange(lo, hi)), (near[pairs - lo] + near[pairs - lo + 1], pair_norm[pairs], pairs)):
             for w, p in np.argwhere(score >= model.gate * size[:, None]).tolist():
