@@ -12,22 +12,32 @@ from pyspark.sql import functions as F
 from snaptide.llm.common import BROADCAST_BYTES, scratch, written
 
 KEYS_A_SHARD = 250_000
+SALTS = 16  # tasks, at most, that rows of one shard go to
 #: Hosts that are listed as a whole, and the digests' first digits that stand for a feed of single URLs.
 LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
 LISTED_DIGEST = "0f"
 
 
+#: Scheme and user information, which may be missing; then the host.
+_BEFORE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?"
+_HOST = _BEFORE + r"(\[[^\]/?#]*\]|[^/?#:@]*)"
+_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)"
+
+
+def _host(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), _HOST, 1)), r"\.+$", ""), r"^www\.", "")
+
+
 def host_key(url: Column) -> Column:
-    """'h:' and the lower-cased host without www.; null where the URL has none."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), r"^www\.", "")
+    """'h:' and the lower-cased host without www., user, port and closing dots; null where the URL has none."""
+    host = _host(url)
     return F.when(host != "", F.concat(F.lit("h:"), host))
 
 
 def url_key(url: Column) -> Column:
-    """'u:' and the URL without scheme, www., query, fragment, index file suffix and closing slash."""
-    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
-    path = F.regexp_replace(rest, r"(\.html?|/+)$", "")
-    return F.concat(F.lit("u:"), F.substring(host_key(url), 3, 100000), path)
+    """'u:' and the URL without scheme, user, port, www., query, fragment, index file suffix and closing slash."""
+    host = _host(url)
+    return F.when(host != "", F.concat(F.lit("u:"), host, F.regexp_replace(F.regexp_extract(F.trim(url), _PATH, 1), r"(\.html?|/+)$", "")))
 
 
 def _hashed(key: Column) -> tuple[Column, Column]:
@@ -126,12 +136,13 @@ def flagged(df: DataFrame, keys: dict[str, Column], filters: DataFrame, shards:
     """df with a boolean column for each of keys, telling if that key, one of the universe, is listed.
 
     The filters go to the executors whole while they take limit bytes or less, and are probed in the scan. Beyond
-    that they lie in the shared folder, a part for each shard; the rows are shuffled by shard, and a task reads
-    the parts of its own shards only. A null key is not listed.
+    that they lie in the shared folder, a part for each shard; the rows are shuffled by shard and, so that a key
+    that many rows have is no task of its own, by SALTS values of the row; a task reads the parts of its own shards
+    only. A null key is not listed.
     """
     spark = df.sparkSession
     size = filters.agg(F.coalesce(F.sum(F.octet_length("bits") + 64), F.lit(0))).first()[0]
-    out = df.select(*(df[c] for c in df.columns if c.lower() not in {k.lower() for k in keys}))
+    out = df.drop(*keys)
     if size <= limit:
         probe = _prober(spark.sparkContext.broadcast(_by_shard(filters.toPandas())), shards)
         return out.withColumns({name: probe(*_hashed(key)) & key.isNotNull() for name, key in keys.items()})
@@ -140,7 +151,8 @@ def flagged(df: DataFrame, keys: dict[str, Column], filters: DataFrame, shards:
     probe = _file_prober(path, shards)
     for name, key in keys.items():
         x, y = _hashed(key)
-        out = out.repartition(F.pmod(y, F.lit(shards))).withColumn(name, probe(x, y) & key.isNotNull())
+        salt = F.pmod(F.xxhash64(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)), F.lit(SALTS))
+        out = out.repartition(F.pmod(y, F.lit(shards)), salt).withColumn(name, probe(x, y) & key.isNotNull())
     return out
 
 
@@ -202,11 +214,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '')"
+_SQL_HOST = rf"regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '{_HOST}', 1)), '\.+$', ''), '^www\.', '')"
 ORACLE = rf"""
 WITH k AS (
-  SELECT page_id, url, {_HOST} AS host,
-    {_HOST} || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '(\.html?|/+)$', '') AS u FROM pages),
+  SELECT page_id, url, {_SQL_HOST} AS host, {_SQL_HOST} || regexp_replace(regexp_extract(trim(url), '{_PATH}', 1), '(\.html?|/+)$', '') AS u FROM pages),
 f AS (
   SELECT page_id, url, host <> '' AND host IN ({", ".join(f"'{h}'" for h in LISTED_HOSTS)}) AS host_listed,
     host <> '' AND starts_with(md5('u:' || u), '{LISTED_DIGEST}') AS url_listed FROM k)
