@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from snaptide.llm.common import scratch, written
 
 CHUNK = 1 << 16
-FIELDS = "file string, record_no bigint, offset bigint, length bigint, warc_type string, record_id string, target_uri string, payload_bytes bigint, payload_sha1 string"
+HEADER = 1 << 20  # bytes of a record's header, at most; a longer one is taken for damage
+FIELDS = "file string, record_no bigint, offset bigint, length bigint, warc_type string, record_id string, target_uri string, payload_bytes bigint, payload_sha1 string, failure string"
 
 
 def _system(path: str):
@@ -81,6 +83,8 @@ class _Reader:
         start = 0
         while (at := self.held.find(mark, start)) < 0:
             start = max(0, len(self.held) - len(mark) + 1)
+            if start > HEADER:
+                raise ValueError("a record's header has no end")
             if not self._more():
                 if self.held.strip(b"\r\n"):
                     raise ValueError("the WARC file ends within a header")
@@ -132,7 +136,9 @@ def normalise(source: BinaryIO, out: BinaryIO, name: str) -> Iterator[tuple]:
         if not head.startswith(b"WARC/"):
             raise ValueError("no WARC record where one should begin")
         fields = _headers(head)
-        size = int(fields["content-length"])
+        size = int(fields.get("content-length", ""))
+        if size < 0:
+            raise ValueError("a record's length is negative")
         deflate, digest = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1()
         length = out.write(deflate.compress(head)) or 0
         for piece in reader.take(size):
@@ -140,7 +146,7 @@ def normalise(source: BinaryIO, out: BinaryIO, name: str) -> Iterator[tuple]:
             length += out.write(deflate.compress(piece)) or 0
         length += out.write(deflate.compress(b"\r\n\r\n")) or 0
         length += out.write(deflate.flush()) or 0
-        yield (name, n, offset, length, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), size, digest.hexdigest())
+        yield (name, n, offset, length, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), size, digest.hexdigest(), None)
         offset += length
         n += 1
 
@@ -192,35 +198,71 @@ def monoliths(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(write, "path string, records bigint")
 
 
+def member_name(path: str) -> str:
+    """The name of a file's rewritten form: its own, after a hash of its whole path, as other folders may have it too."""
+    return f"{hashlib.sha256(path.encode('utf-8', 'surrogatepass')).hexdigest()[:16]}-{path.rsplit('/', 1)[1]}"
+
+
+def _rewritten(path: str, folder: str) -> str | None:
+    """Rewrite one file into folder, with its index; what is wrong with the file, if anything is."""
+    source_system, at = _system(path)
+    system, root = _system(folder)
+    system.create_dir(root, recursive=True)
+    name, temporary = member_name(at), f"{root}/.{_attempt()}"
+    columns, why = [f.split()[0] for f in FIELDS.split(", ")], None
+    try:
+        with source_system.open_input_stream(at, compression=None) as source, system.open_output_stream(temporary, compression=None) as out, system.open_output_stream(f"{temporary}.idx", compression=None) as index:
+            for row in normalise(source, _Counted(out), name):
+                index.write(json.dumps(dict(zip(columns, row))).encode() + b"\n")
+        _published(system, f"{temporary}.idx", f"{root}/{name}.idx")
+        _published(system, temporary, f"{root}/{name}")
+    except (ValueError, zlib.error, FileNotFoundError) as e:  # damage; what may be different in another attempt is raised
+        why = f"{type(e).__name__}: {e}"
+    finally:
+        from pyarrow import fs
+
+        for left in (temporary, f"{temporary}.idx"):
+            if system.get_file_info(left).type != fs.FileType.NotFound:
+                system.delete_file(left)
+    return why
+
+
+def _index_rows(folder: str, name: str) -> Iterator[list[tuple]]:
+    """A written index, some thousand rows at a time."""
+    system, root = _system(folder)
+    columns = [f.split()[0] for f in FIELDS.split(", ")]
+    with system.open_input_stream(f"{root}/{name}.idx", compression=None) as raw:
+        rows = []
+        for line in io.TextIOWrapper(raw, encoding="ascii"):
+            entry = json.loads(line)
+            rows.append(tuple(entry[c] for c in columns))
+            if len(rows) == 5000:
+                yield rows
+                rows = []
+        yield rows
+
+
 def normalised(files: DataFrame, folder: str) -> DataFrame:
     """Rewrite the WARC files whose paths are in files.path into folder; the rows of all their offset indexes.
 
-    Beside NAME.warc.gz lies NAME.warc.gz.idx, a line of JSON for each record. A file without records gives an
-    empty one and no rows; null paths are left out, repeated ones done once; a file that is cut short or holds
-    no WARC records raises, and leaves nothing behind. One task reads a file, from end to end and only once: a
-    gzip stream can't be entered anywhere else.
+    Beside each rewritten file, which is named by member_name(), lies its index, NAME.idx, a line of JSON for each
+    record. A file without records gives an empty one and no rows; null paths are left out, repeated ones done
+    once. A file that is missing, cut short or holds no WARC records gives one row, of its name and the failure,
+    and no file; the others go on. Nothing temporary is left but by an executor that is lost in the midst (hidden
+    names; its task is done again). One task reads a file, from end to end and only once: a gzip stream can't be
+    entered anywhere else.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [f.split()[0] for f in FIELDS.split(", ")]
         for b in batches:
             for path in b["path"].tolist():
-                source_system, at = _system(path)
-                system, root = _system(folder)
-                system.create_dir(root, recursive=True)
-                name, mark = at.rsplit("/", 1)[1], _attempt()
-                rows: list[tuple] = []
-                with source_system.open_input_stream(at, compression=None) as source, system.open_output_stream(f"{root}/.{mark}", compression=None) as out, system.open_output_stream(f"{root}/.{mark}.idx", compression=None) as index:
-                    counted = _Counted(out)
-                    for row in normalise(source, counted, name):
-                        index.write(json.dumps(dict(zip(columns, row))).encode() + b"\n")
-                        rows.append(row)
-                        if len(rows) >= 5000:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows = []
-                _published(system, f"{root}/.{mark}.idx", f"{root}/{name}.idx")
-                _published(system, f"{root}/.{mark}", f"{root}/{name}")
-                yield pd.DataFrame(rows, columns=columns)
+                name = member_name(_system(path)[1])
+                if why := _rewritten(path, folder):
+                    yield pd.DataFrame([(name, *[None] * (len(columns) - 2), why)], columns=columns)
+                    continue
+                for rows in _index_rows(folder, name):
+                    yield pd.DataFrame(rows, columns=columns)
 
     paths = files.filter("path is not null").select("path").distinct()
     many = paths.count()
