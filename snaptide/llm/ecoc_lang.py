@@ -10,8 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from snaptide.llm.common import slices
+
 DIM = 4096  # hashed byte n-grams, of two and three bytes
 SAMPLE = 3000  # labelled rows the classifiers are fitted on, at most, shared out evenly over the languages
+LEAST_EACH = 20  # of a language; so the sample has room for SAMPLE / LEAST_EACH languages, those with the most rows
 RIDGE = 1e-2
 SHARPNESS = 4.0
 MARGIN = 0.3  # two codewords whose mean losses differ by less are not told apart
@@ -39,7 +42,7 @@ def codewords(k: int) -> np.ndarray:
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n x DIM features, bytes that are letters): root frequencies of n-grams over the whole text, of length one."""
-    low = pc.utf8_lower(texts.fill_null(""))
+    low = pc.utf8_lower(texts.cast(pa.string()).fill_null(""))
     offsets = np.frombuffer(low.buffers()[1], dtype=np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
     data = np.frombuffer(low.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if low.buffers()[2] and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
@@ -105,12 +108,14 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """Fit on at most sample labelled rows with text: of each language those with the least hashes of doc_id."""
+    """Fit on at most sample labelled rows with text: of each language those with the least hashes of doc_id. Of more
+    languages than sample / LEAST_EACH those with the most rows (ties: the first by name) are fitted."""
     labelled = docs.filter("lang is not null and trim(text) <> ''").select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    by_rows = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    counts = {r["lang"]: r["n"] for r in by_rows.limit(max(1, sample // LEAST_EACH)).collect()}
     if not counts:
         return None
-    each = max(2, sample // len(counts))
+    each = sample // len(counts)
     # a hash bound first, of three times the share, then the exact share of what passes
     bound = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, (3 * each + 50) / n) * 1_000_000))))
     near = labelled.filter(F.pmod("h", F.lit(1_000_000)) < bound[F.col("lang")])
@@ -120,17 +125,12 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Classifier | None:
     return Classifier(np.stack([np.frombuffer(bytes(r["x"]), dtype=np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    for lo in range(0, len(texts), 512):
-        yield texts.slice(lo, 512)
-
-
 def _identify(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     names = np.array(model.languages, dtype=object)
     for b in batches:
         said, margins, sure = [], [], []
-        for texts in _slices(b.column(2)):
+        for texts in (part.slice(lo, 512) for _, part in slices(b.column(2), 16 * SLICE_BYTES) for lo in range(0, len(part), 512)):
             x, letters = features(texts)
             best, margin = model.decode(x)
             there = letters > 0
@@ -148,7 +148,7 @@ def identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     A code assigns every language of the labels a codeword; a classifier of byte n-grams predicts each bit, over
     the whole text. The language with the least weighted loss wins; margin is the next one's loss less that, and
-    ambiguous holds where it is under MARGIN or the text has fewer than LEAST_BYTES bytes of letters. A null
+    ambiguous holds where it is under MARGIN (with one language, never) or the text has fewer than LEAST_BYTES bytes of letters. A null
     text, or one without letters, has no prediction and is ambiguous; so is every text if no row has a label.
     Null labels only keep a row out of the sample. Repeated rows give equal answers; other columns are ignored.
     """

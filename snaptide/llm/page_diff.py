@@ -22,11 +22,17 @@ _TAG = re.compile(r"<[^>]*>")
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)")
 
 
+def _tags_out(tag: re.Pattern, by: str, html: str) -> str:
+    """tag.sub(), but only up to the last >: before it each search for a tag's end finds one, so all is read once."""
+    end = html.rfind(">") + 1
+    return tag.sub(by, html[:end]) + html[end:]
+
+
 def lines_of(html: str | None) -> list[str]:
     """The text lines of a page: comments, scripts and styles dropped, block tags as breaks, blanks collapsed."""
     if not html:
         return []
-    text = entities.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub("\n", html))))
+    text = entities.unescape(_tags_out(_TAG, "", _tags_out(_BREAK, "\n", _DROP.sub("\n", html))))
     return [x for x in (" ".join(line.split()) for line in text.splitlines()) if x]
 
 
@@ -185,7 +191,7 @@ def masks(pages: DataFrame) -> DataFrame:
     ends = runs.filter("kind = 'end'")
     # a partition of one or two rows has no tail rows: its last row is the one with the highest seat
     sizes = ends.groupBy("task").agg(F.when(F.min("seat") > 0, F.max("seat")).otherwise(F.lit(0)).alias("size"))
-    ordered = ends.join(F.broadcast(sizes), "task").select(*order, "lines", "seat", "size").coalesce(1).sortWithinPartitions(*order)
+    ordered = ends.join(sizes, "task").select(*order, "lines", "seat", "size").coalesce(1).sortWithinPartitions(*order)
     settled = ordered.mapInPandas(_ends, _PAIRED)
     return runs.filter("kind = 'mask'").select("host", "digest", "partner", "cut").union(settled.select("host", "digest", "partner", "cut"))
 
