@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaptide.llm.common import text_of
+from snaptide.llm.common import Renamed
 
 SYMBOLS = "|&%$#*!<>{}[]\\^~=+@"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜÝ"
+BULLETS = "-*•‣▪–"
 STOP_WORDS = {
     "en": "the of and to in is that for with on as be".split(),
     "de": "der die und das den von zu mit in im ist ein".split(),
@@ -30,6 +31,7 @@ class Rule(NamedTuple):
 
 #: The production threshold table.
 RULES = (
+    Rule("n_chars", 1, 5_000_000, 0),
     Rule("n_words", 1, float("inf"), 0),
     Rule("symbol_ratio", 0.0, 0.05, 0),
     Rule("capital_ratio", 0.0, 0.4, 0),
@@ -37,6 +39,8 @@ RULES = (
     Rule("distinct_word_ratio", 0.3, 1.0, 20),
     Rule("stop_word_ratio", 0.02, 1.0, 50),
     Rule("distinct_line_ratio", 0.3, 1.0, 20),
+    Rule("bullet_line_ratio", 0.0, 0.9, 20),
+    Rule("ellipsis_line_ratio", 0.0, 0.5, 20),
 )
 
 
@@ -44,28 +48,39 @@ def _listed(tokens: Column, words: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(words)))
 
 
-def _measures(text: Column, lang: Column) -> dict[str, Column]:
-    chars = F.length(text)
-    tokens = F.filter(F.split(F.translate(F.lower(text), "\n\t\r.,;:!?", "   "), " "), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+def _only(text: Column, signs: str) -> Column:
+    """The text's signs of a class, counted: a run of others is one match, so that text is passed over quickly."""
+    return F.length(F.regexp_replace(text, f"[^{signs}]++", ""))
+
+
+def _measures(text: Column, lang: Column, tokens: Column, lines: Column) -> dict[str, Column]:
+    """The measures over text, and its tokens and lines as arrays()."""
+    chars, n_tokens, n_lines = F.length(text), F.size(tokens), F.size(lines)
     share = lambda part, whole: F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
-    m = {
-        "n_chars": chars.cast("bigint"),
-        "n_words": F.size(F.col("__st_tokens")).cast("bigint"),
-        "symbol_ratio": share(chars - F.length(F.translate(text, SYMBOLS, "")), chars),
-        "capital_ratio": share(chars - F.length(F.translate(text, CAPITALS, "")), chars),
-        "mean_word_chars": share(F.length(F.array_join(F.col("__st_tokens"), "")), F.size(F.col("__st_tokens"))),
-        "distinct_word_ratio": share(F.size(F.array_distinct(F.col("__st_tokens"))), F.size(F.col("__st_tokens"))),
-        "distinct_line_ratio": share(F.size(F.array_distinct(F.col("__st_lines"))), F.size(F.col("__st_lines"))),
-    }
     stop = F.lit(None).cast("double")
     for code, listed in STOP_WORDS.items():
-        hits = _listed(F.col("__st_tokens"), listed)
-        stop = F.when(lang == code, share(hits, F.size(F.col("__st_tokens")))).otherwise(stop)
-    return {"__st_tokens": tokens, "__st_lines": lines, **m, "stop_word_ratio": stop}
+        stop = F.when(lang == code, share(_listed(tokens, listed), n_tokens)).otherwise(stop)
+    return {
+        "n_chars": chars.cast("bigint"),
+        "n_words": n_tokens.cast("bigint"),
+        "symbol_ratio": share(_only(text, re.escape(SYMBOLS)), chars),
+        "capital_ratio": share(_only(text, r"\p{Lu}"), chars),
+        "mean_word_chars": share(F.length(F.array_join(tokens, "")), n_tokens),
+        "distinct_word_ratio": share(F.size(F.array_distinct(tokens)), n_tokens),
+        "distinct_line_ratio": share(F.size(F.array_distinct(lines)), n_lines),
+        "bullet_line_ratio": share(F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin(*BULLETS))), n_lines),
+        "ellipsis_line_ratio": share(F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))), n_lines),
+        "stop_word_ratio": stop,
+    }
+
+
+def _arrays(text: Column) -> tuple[Column, Column]:
+    """A text's lower-case words, without the commonest punctuation, and its lines that aren't blank."""
+    tokens = F.filter(F.split(F.regexp_replace(F.lower(text), "[.,;:!?]+", ""), "[ \n\t\r]+"), lambda w: w != "")
+    return tokens, F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 
 
-MEASURES = ("n_chars", "n_words", "symbol_ratio", "capital_ratio", "mean_word_chars", "distinct_word_ratio", "distinct_line_ratio", "stop_word_ratio")
+MEASURES = ("n_chars", "n_words", "symbol_ratio", "capital_ratio", "mean_word_chars", "distinct_word_ratio", "distinct_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio", "stop_word_ratio")
 
 
 def _broken(rule: Rule, measure, n_words: Column) -> Column:
@@ -79,29 +94,31 @@ def _broken(rule: Rule, measure, n_words: Column) -> Column:
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the measures, the names of the broken rules ('|'-joined) and keep, one row per row of docs.
 
-    A null text counts as empty, and an empty or blank one breaks n_words. A ratio over nothing is 0. The
+    A null text counts as empty; an empty one breaks n_chars and n_words, a blank one n_words. A ratio over nothing is 0. The
     stop-word ratio is null, and never breaks, where lang is null or has no word list. Rows that repeat are
     judged each for itself; columns of docs besides doc_id, text and lang are ignored, whatever their names.
     """
-    base = docs.select("doc_id", text_of().alias("__st_text"), F.col("lang").alias("__st_lang"))
-    m = _measures(F.col("__st_text"), F.col("__st_lang"))
-    arrays = base.select("*", m.pop("__st_tokens").alias("__st_tokens"), m.pop("__st_lines").alias("__st_lines"))
-    rows = arrays.select("doc_id", *(m[k].alias(k) for k in MEASURES))
+    table = Renamed(docs)
+    base = table.df.select(table["doc_id"].alias("doc_id"), F.coalesce(table["text"], F.lit("")).alias("text"), table["lang"].alias("lang"))
+    tokens, lines = _arrays(F.col("text"))
+    m = _measures(F.col("text"), F.col("lang"), F.col("tokens"), F.col("lines"))
+    rows = base.select("*", tokens.alias("tokens"), lines.alias("lines")).select("doc_id", *(m[k].alias(k) for k in MEASURES))
     broken = F.concat_ws("|", *(F.when(_broken(r, F.col, F.col("n_words")), F.lit(r.measure)) for r in rules))
     return rows.withColumn("broken", broken).withColumn("keep", F.col("broken") == "")
 
 
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that break no rule, with all their columns. See measured()."""
-    base = docs.select("*", text_of().alias("__st_text"), F.col("lang").alias("__st_lang"))
-    m = _measures(F.col("__st_text"), F.col("__st_lang"))
+    """The rows of docs that break no rule, with all their columns, whatever their names. See measured()."""
+    table = Renamed(docs)
+    base = table.df.withColumn("text", F.coalesce(table["text"], F.lit("")))
+    tokens, lines = _arrays(F.col("text"))
     # a generator holds the arrays, else the optimiser moves their making into every rule of the filter
-    arrays = F.struct(m.pop("__st_tokens").alias("tokens"), m.pop("__st_lines").alias("lines"))
-    made = base.select("*", F.explode(F.array(arrays)).alias("__st_made")).withColumns({"__st_tokens": F.col("__st_made.tokens"), "__st_lines": F.col("__st_made.lines")})
+    made = base.withColumn("made", F.explode(F.array(F.struct(tokens.alias("tokens"), lines.alias("lines")))))
+    m = _measures(F.col("text"), table["lang"], F.col("made.tokens"), F.col("made.lines"))
     broken = F.lit(False)
     for r in rules:
         broken = broken | _broken(r, m.__getitem__, m["n_words"])
-    return made.filter(~broken).select(*(docs[c] for c in docs.columns))
+    return table.back(made.filter(~broken))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +130,11 @@ def measures_sql(source: str = "documents") -> str:
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
     stop = " ".join(f"WHEN lang = '{k}' THEN CASE WHEN len(tok) > 0 THEN len(list_filter(tok, lambda w: w IN ({quoted(v)})))::DOUBLE / len(tok) ELSE 0.0 END" for k, v in STOP_WORDS.items())
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / {b} ELSE 0.0 END"
-    sym, caps = SYMBOLS.replace("'", "''"), CAPITALS
+    sym = re.escape(SYMBOLS)
     tests = []
     for r in RULES:
-        bad = f"{r.measure} < {r.low!r}" + ("" if r.high == float("inf") else f" OR {r.measure} > {r.high!r}")
+        name = {"n_chars": "q_chars"}.get(r.measure, r.measure)
+        bad = f"{name} < {r.low!r}" + ("" if r.high == float("inf") else f" OR {name} > {r.high!r}")
         tests.append(f"CASE WHEN ({bad}) AND n_words >= {r.least_words} THEN '{r.measure}' END")
     return f"""
 WITH q_base AS (
@@ -126,11 +144,13 @@ WITH q_base AS (
   FROM {source}),
 q_measured AS (
   SELECT * EXCLUDE (n_chars), length(q_text) AS q_chars, len(tok) AS n_words,
-    {share(f"length(q_text) - length(translate(q_text, '{sym}', ''))", "length(q_text)")} AS symbol_ratio,
-    {share(f"length(q_text) - length(translate(q_text, '{caps}', ''))", "length(q_text)")} AS capital_ratio,
+    {share(f"length(regexp_replace(q_text, '[^{sym}]+', '', 'g'))", "length(q_text)")} AS symbol_ratio,
+    {share("length(regexp_replace(q_text, '[^\\p{Lu}]+', '', 'g'))", "length(q_text)")} AS capital_ratio,
     {share("length(array_to_string(tok, ''))", "len(tok)")} AS mean_word_chars,
     {share("len(list_distinct(tok))", "len(tok)")} AS distinct_word_ratio,
     {share("len(list_distinct(q_lines))", "len(q_lines)")} AS distinct_line_ratio,
+    {share(f"len(list_filter(q_lines, lambda x: substr(ltrim(x), 1, 1) IN ({quoted(BULLETS)})))", "len(q_lines)")} AS bullet_line_ratio,
+    {share("len(list_filter(q_lines, lambda x: rtrim(x).ends_with('...') OR rtrim(x).ends_with('…')))", "len(q_lines)")} AS ellipsis_line_ratio,
     CASE {stop} END AS stop_word_ratio
   FROM q_base)
 SELECT *, concat_ws('|', {", ".join(tests)}) AS broken FROM q_measured"""
@@ -138,5 +158,5 @@ SELECT *, concat_ws('|', {", ".join(tests)}) AS broken FROM q_measured"""
 
 ORACLE = f"""
 SELECT doc_id, q_chars AS n_chars, n_words, symbol_ratio, capital_ratio, mean_word_chars, distinct_word_ratio,
-  distinct_line_ratio, stop_word_ratio, broken, broken = '' AS keep
+  distinct_line_ratio, bullet_line_ratio, ellipsis_line_ratio, stop_word_ratio, broken, broken = '' AS keep
 FROM ({measures_sql()})"""

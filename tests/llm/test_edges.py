@@ -18,21 +18,26 @@ def bench(spark):
 def test_quality_rules(odd, none):
     got = [(r.doc_id, r.keep, r.broken) for r in quality_rules.measured(odd).collect()]
     assert len(got) == 11 and sum(k for _, k, _ in got) == len(quality_rules.kept(odd).collect())
-    assert all(b == "n_words" for i, _, b in got if i in (2, 3, 4))
+    assert {i: b for i, _, b in got if i in (2, 3, 4)} == {2: "n_chars|n_words", 3: "n_chars|n_words", 4: "n_words"}
     assert [k for i, k, _ in got if i == 1] == [True, True]
     assert "distinct_word_ratio" in dict((i, b) for i, _, b in got)[7]
     assert quality_rules.kept(odd).columns == odd.columns
     assert quality_rules.measured(none).count() == 0 and quality_rules.kept(none).count() == 0
 
 
-def test_line_dedup(odd, none):
+def test_line_dedup(spark, odd, none):
     out = line_dedup.deduped(odd, least_pages=2, ratio=0.1)
     rows = {(r.doc_id, r.source): r for r in out.collect()}
     assert out.count() == 11 and rows[(2, "a")].text is None and rows[(2, "a")].n_chars is None
-    assert rows[(1, "a")].text == "" and rows[(1, "a")].n_chars == 0 and rows[(1, "a")]["__st_dropped"] == 1
+    assert rows[(1, "a")].n_dropped == 0 and rows[(1, "a")].text  # a text and its copies are one page
     assert rows[(4, None)].text == " \n\t\n "
-    assert line_dedup.stage(odd).columns == odd.columns
+    assert line_dedup.stage(odd).columns == odd.columns and line_dedup.stage(odd).count() == 11
     assert line_dedup.deduped(none).count() == 0
+    # on a host of four pages a line of three goes, with a page that had no other; one of two stays
+    texts = ["menu\none", " menu \ntwo\ntwice", "menu\n\n", "three\ntwice", "menu\none", "menu\none"]
+    pages = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in enumerate(texts)], none.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage(pages).collect()}
+    assert got == {0: ("one", 3), 1: ("two\ntwice", 9), 3: ("three\ntwice", 11), 4: ("one", 3), 5: ("one", 3)}
 
 
 def test_simhash(odd, none):
@@ -141,13 +146,43 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd, none):
             out.count()
 
 
+def test_names_of_any_kind(spark, odd):
+    """Columns with dots, back quotes, capitals and the operators' own inner names, through all stages."""
+    names = ["a.b", "x`y", "c0", "c1", "__st_text", "__st_q", "__st_lines", "again", "id", "sig", "times", "left", "cut", "gone", "made", "tokens", "e", "u", "q", "of", "num", "most", "Bound", "h", "row", "is it?"]
+    rows = [(*r[:5], *range(len(names))) for r in odd.collect()]
+    table = spark.createDataFrame(rows, ", ".join(["doc_id bigint, text string, lang string, source string, n_chars bigint"] + [f"`{n.replace('`', '``')}` int" for n in names]))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, "/root/testdata/sf0.001")
+        got = out.collect()
+        assert out.columns == table.columns + ["copy"] * (name == "mix") and got
+        assert {tuple(r)[5 : 5 + len(names)] for r in got} == {tuple(range(len(names)))}
+
+
+@pytest.mark.parametrize("limit", ["checked_broadcast"])
+def test_shuffled_joins(spark, monkeypatch, pages, limit):
+    """What is joined where a side is too large to broadcast is the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80)
+    runs = [lambda: pareto_mix.mixed(docs).select("doc_id", "copy"), lambda: line_dedup.deduped(docs, ratio=0.01).select("doc_id", "n_dropped"), lambda: page_diff.extracted(pages).select("page_id", "text")]
+    before = [sorted(map(str, run().collect())) for run in runs]
+    for module in (pareto_mix, line_dedup, page_diff):
+        monkeypatch.setattr(module, limit, lambda df, width: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [sorted(map(str, run().collect())) for run in runs] == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_shared_folder(spark):
-    """The session's setting is read, and never set; without it a folder of the machine serves."""
+    """The session's setting is read, and never set; without it a folder of the machine serves, but on no cluster."""
     from types import SimpleNamespace
 
     from snaptide.llm.common import shared_dir
 
-    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="none"))
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="none", master="local[4]"))
     assert shared_dir(unset).startswith("file:///") and shared_dir(unset) == shared_dir(unset)
+    unset.sparkContext.master = "local-cluster[3,2,1000]"
+    with pytest.raises(ValueError):
+        shared_dir(unset)
     there = spark.conf.get("spark.checkpoint.dir", None)
     assert not there or shared_dir(spark).endswith(there.split(":")[-1].lstrip("/").rstrip("/"))
