@@ -187,6 +187,23 @@ def run_counts(index_run: DataFrame, file_location: DataFrame) -> DataFrame:
     return index_run.join(n, F.col("id") == F.col("__run"), "left").drop("__run").withColumn("files", F.coalesce("files", F.lit(0)))
 
 
+def described() -> Column:
+    """A line for a row of run_counts(): number, date, root, medium, files, and what is special about the run."""
+    from snaptide.functions.paths import DEFAULT_EXCLUDED_DIRS, DEFAULT_EXCLUDED_FILES
+
+    def own(name: str, label: str, usual: tuple[str, ...]) -> Column:
+        names = F.array_except(F.filter(F.split(F.coalesce(F.col(name), F.lit("")), r"\|"), lambda x: x != ""), F.array(*(F.lit(u) for u in usual)).cast("array<string>"))
+        return F.when(F.size(names) > 0, F.concat(F.lit(f"excl. {label}: ["), F.array_join(names, ", "), F.lit("]")))
+
+    medium = F.concat_ws(", ", F.nullif("medium_serial", F.lit("")), F.nullif("medium_description", F.lit("")))
+    facts = F.concat_ws(
+        ", ", F.concat(F.lit("files: "), F.col("files").cast("string")), F.when(F.col("is_backup"), "Backup"), own("excluded_paths", "paths", DEFAULT_EXCLUDED_DIRS), own("excluded_files", "files", DEFAULT_EXCLUDED_FILES),
+        F.when(F.col("only_read_first_mb").isNotNull(), "HashOnlyForFirstMb"), F.when(F.col("failure_occurred"), "FAILURE occurred"),
+    )
+    head = F.concat(F.lit("No. "), F.col("id").cast("string"), F.lit(": "), F.date_format("run_date", "yyyy-MM-dd HH:mm:ss"), F.lit("  "), F.coalesce("path_prefix", F.lit("")), F.col("path"))
+    return F.concat(head, F.when(medium != "", F.concat(F.lit("  ["), medium, F.lit("]"))).otherwise(""), F.lit("  ("), facts, F.lit(")"))
+
+
 def report(t: Tables) -> DataFrame:
     """table_name and n of each table."""
     out = None

@@ -74,6 +74,12 @@ def union(left: DataFrame, right: DataFrame, modes: MatchMode, strict: bool = Tr
     return _first(both, [F.col("__side").asc(), *(order or [F.col("id").asc()])]).drop("__side")
 
 
+def union_eager(left: DataFrame, right: DataFrame, modes: MatchMode) -> DataFrame:
+    """One row a key: of left's equal rows the last by id, and where left has none the first of right's."""
+    a, b = keyed(left, modes).withColumn("__side", F.lit(0)), keyed(right, modes).withColumn("__side", F.lit(1))
+    return _first(a.unionByName(b), [F.col("__side").asc(), F.when(F.col("__side") == 0, -F.col("id")).otherwise(F.col("id")).asc()]).drop("__side")
+
+
 def union_all(frames: list[DataFrame], modes: MatchMode, strict: bool = False, order: list[Column] | None = None) -> DataFrame:
     """Many inputs, the first given wins: one concatenation and one window, whatever their number."""
     rows = None

@@ -90,6 +90,11 @@ def _(spark, sf):
     return A.union(*_two(spark, sf), M.HASH | M.FILE_SIZE, strict=False).select("id")
 
 
+@query("union_eager", sql(f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY {_HS} ORDER BY run_id DESC, CASE WHEN run_id = 2 THEN -id ELSE id END) AS r FROM fx) WHERE r = 1"))
+def _(spark, sf):
+    return A.union_eager(*_two(spark, sf), M.HASH | M.FILE_SIZE).select("id")
+
+
 @query("union_paths", sql("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY hash, coalesce(file_size, 0), rel, filename ORDER BY run_id DESC, id) AS r FROM fx) WHERE r = 1"))
 def _(spark, sf):
     return A.union_all(list(_two(spark, sf)), M.HASH | M.FILE_SIZE | M.FULL_PATH_EXCL_PREFIX | M.FILENAME, strict=True).select("id")
@@ -453,6 +458,14 @@ for _name, _oracle in _SYNC.items():
 
     query(f"sync_{_name}", sql(_oracle))(_sync)
 
+@query("sync_change_gate", sql("""SELECT total, changed, changed * 100 // total AS percent, changed * 100 // total >= 5 AND changed > 50 AS too_many FROM (
+  SELECT (SELECT count(*) FROM (SELECT hash, file_size, rel, filename FROM r2 UNION SELECT hash, file_size, rel, filename FROM r1)) AS total,
+    (SELECT count(*) FROM r1 l LEFT JOIN r2 r ON l.rel = r.rel AND l.filename = r.filename WHERE r.id IS NULL OR l.modified_ms // 1000 <> r.modified_ms // 1000 OR l.file_size IS DISTINCT FROM r.file_size OR l.hash IS DISTINCT FROM r.hash) AS changed)"""))
+def _(spark, sf):
+    new, old = _two(spark, sf)
+    return transfer.sync_gate(new, old, transfer.sync_plan(new, old))
+
+
 for _name, _test in (("millis", "l.modified_ms <> r.modified_ms"), ("sec", "l.modified_ms // 1000 <> r.modified_ms // 1000")):
 
     def _dates(spark, sf, sec=_name == "sec"):

@@ -15,14 +15,18 @@ M = MatchMode
 
 
 def compare(left: DataFrame, right: DataFrame, result: str = "BOTH") -> DataFrame:
-    """Files of one run that the other has not, by relative path, name, hash and size; side tells which."""
+    """Files of one run that the other has not, by relative path, name, hash and size; side tells which.
+
+    Both sides go through one window over the key, which also finds keys that repeat on a side, an error.
+    """
     modes = M.REL_PATH2 | M.FILENAME | M.HASH | M.FILE_SIZE
-    parts = []
-    if result in ("LEFT", "BOTH"):
-        parts.append(A.subtract(left, right, modes, multi=False).withColumn("side", F.lit("LEFT")))
-    if result in ("RIGHT", "BOTH"):
-        parts.append(A.subtract(right, left, modes, multi=False).withColumn("side", F.lit("RIGHT")))
-    return reduce(A.concat, parts)
+    rows = keyed(left.withColumn("side", F.lit("LEFT")).unionByName(right.withColumn("side", F.lit("RIGHT"))), modes, "__k")
+    by = Window.partitionBy("__k")
+    here = lambda side: F.count_if(F.col("side") == side).over(by)
+    fail = F.raise_error(F.concat(F.lit("key is not unique: "), F.to_json("__k"))).cast("boolean")
+    rows = rows.withColumns({"__a": here("LEFT"), "__b": here("RIGHT")}).filter(F.when((F.col("__a") > 1) | (F.col("__b") > 1), fail).otherwise(True))
+    alone = rows.filter((F.col("__a") == 0) | (F.col("__b") == 0))
+    return (alone if result == "BOTH" else alone.filter(F.col("side") == result)).drop("__k", "__a", "__b")
 
 
 def duplicate_pairs(reference: DataFrame, search: list[DataFrame], incl_filename: bool = False, partial_hash: bool = False) -> DataFrame:
@@ -59,7 +63,7 @@ def duplicate_totals(duplicates: DataFrame) -> DataFrame:
 
 
 def no_copy(reference: DataFrame, search: list[DataFrame], reverse: bool = False) -> DataFrame:
-    """Files with content of which no file of the other side is a copy, by path."""
+    """Files with content of which no file of the other side is a copy; the pipeline sorts them by path."""
     a, b = A.non_empty(reference), A.non_empty(reduce(A.concat, search))
     if reverse:
         a, b = b, a
@@ -125,17 +129,25 @@ def reusable(current: DataFrame, previous: DataFrame, skip_hash: bool = False) -
 
 def rename_plan(files: DataFrame) -> DataFrame:
     """id and new_name of files named by their date, where it is not in the name already. Of several that would
-    have one name in a directory, or where it is taken, the later ones get _2, _3, ... before the extension."""
+    have one name in a directory, or where it is taken, the later ones get the next of _2, _3, ... before the extension
+    that no file there has."""
     from snaptide.functions.text import modified_name
 
     target = modified_name(F.col("modified"), F.col("extension"))
-    stem = F.date_format("modified", "yyyyMMdd_HHmmss")
+    stem, ending = F.date_format("modified", "yyyyMMdd_HHmmss"), F.coalesce("extension", F.lit("null"))
     wanted = files.filter(F.col("img_exif_original_date").isNotNull()).withColumn("target", target).withColumn("stem", stem)
     wanted = wanted.filter((F.col("target") != F.col("filename")) & ~F.col("filename").contains(F.col("stem")))
-    taken = files.select(F.col("run_id").alias("t_run"), F.col("rel").alias("t_rel"), F.col("filename").alias("t_name"))
+    wanted = wanted.withColumn("seat", F.row_number().over(Window.partitionBy("run_id", "rel", "target").orderBy("id")).cast("int"))
+    # the numbers that names of this form have in the directory already; the bare name is number 1
+    form = r"^(\d{8}_\d{6})(?:_([1-9]\d{0,8}))?\.(.+)$"
+    part = lambda k: F.regexp_extract("filename", form, k)
+    number = F.coalesce(F.nullif(part(2), F.lit("")), F.lit("1")).cast("int")
+    taken = files.filter(F.col("filename").rlike(form)).groupBy(F.col("run_id").alias("t_run"), F.col("rel").alias("t_rel"), F.concat(part(1), F.lit("."), part(3)).alias("t_name")).agg(F.collect_set(number).alias("numbers"))
     own = (F.col("run_id") == F.col("t_run")) & (F.col("rel") == F.col("t_rel")) & (F.col("target") == F.col("t_name"))
-    used = wanted.join(taken, own, "left").withColumn("n", F.row_number().over(Window.partitionBy("run_id", "rel", "target").orderBy("id")) + F.when(F.col("t_name").isNotNull(), 1).otherwise(0))
-    name = F.when(F.col("n") == 1, F.col("target")).otherwise(F.concat("stem", F.lit("_"), F.col("n").cast("string"), F.lit("."), F.coalesce("extension", F.lit("null"))))
+    numbers = F.coalesce("numbers", F.array().cast("array<int>"))
+    free = F.array_except(F.sequence(F.lit(1), F.col("seat") + F.size(numbers)), numbers)
+    used = wanted.join(taken, own, "left").withColumn("n", F.get(free, F.col("seat") - 1))
+    name = F.when(F.col("n") == 1, F.col("target")).otherwise(F.concat("stem", F.lit("_"), F.col("n").cast("string"), F.lit("."), ending))
     return used.select("id", name.alias("new_name"))
 
 

@@ -127,7 +127,8 @@ def _compare(e: Engine, _, plain, named):
 
 def _list(e: Engine, _, plain, named):
     run = catalog.covering(e.tables["index_run"], plain[0]) if plain else e.tables["index_run"]
-    return catalog.run_counts(run, e.tables["file_location"]).orderBy(F.desc("run_date"), F.desc("id"))
+    counted = catalog.run_counts(run, e.tables["file_location"])
+    return counted.withColumn("description", catalog.described()).orderBy(F.desc("run_date"), F.desc("id"))
 
 
 def _delete(e: Engine, given, plain, named):
@@ -169,12 +170,24 @@ def _backup(e: Engine, _, plain, named):
     e.plans["backup"] = transfer.backup_plan(source, backed_up)
     e.plans["backupTotals"] = transfer.totals(out)
     e.plans["backupSpace"] = transfer.backup_space(source, backed_up)
-    e.plans["backupGate"] = transfer.change_gate(e.plans["backupTotals"], int(named.get("maxchangedfileswarningpercent", 5)), int(named.get("minallowedchanges", 50)))
+    e.plans["backupGate"] = transfer.change_gate(e.plans["backupTotals"], *_limits(named))
+    disk = catalog.newest(run).select("usable_space", "total_space")
+    least = int(named.get("mindiskfreespacepercent", 10)), int(named.get("mindiskfreespacemb", 1000))
+    e.plans["backupSpaceGate"] = e.plans["backupSpace"].crossJoin(disk).withColumn("blocked", transfer.space_gate(F.col("needed_bytes"), F.col("usable_space"), F.col("total_space"), *least))
     return out
 
 
+def _limits(named: dict[str, str]) -> tuple[int, int]:
+    return int(named.get("maxchangedfileswarningpercent", 5)), int(named.get("minallowedchanges", 50))
+
+
 def _sync(e: Engine, _, plain, named):
-    return transfer.sync_plan(e.newest(plain[0], False), e.newest(plain[1], False))
+    """What a sync would copy and delete; plans: its totals, and whether it changes suspiciously much."""
+    source, target = e.newest(plain[0], False), e.newest(plain[1], False)
+    out = transfer.sync_plan(source, target)
+    e.plans["syncTotals"] = transfer.totals(out)
+    e.plans["syncGate"] = transfer.sync_gate(source, target, out, *_limits(named))
+    return out
 
 
 def _dates(e: Engine, _, plain, named):
@@ -183,7 +196,7 @@ def _dates(e: Engine, _, plain, named):
 
 COMMANDS: dict[str, Callable] = {
     "findduplicates": lambda e, _, p, n: compare.find_duplicates(e.newest(p[0]), [e.newest(d) for d in p[1:]], _yes(n, "inclFilenameOnCompare", False), _yes(n, "partialHash", False)),
-    "findfileswithnocopy": lambda e, _, p, n: compare.no_copy(e.newest(p[0]), [e.newest(d) for d in p[1:]], _yes(n, "reverse", False)),
+    "findfileswithnocopy": lambda e, _, p, n: compare.no_copy(e.newest(p[0]), [e.newest(d) for d in p[1:]], _yes(n, "reverse", False)).orderBy(F.concat(full_path(), F.col("filename"))),
     "compare": _compare,
     "filter": lambda e, given, p, n: given.filter(path_filter(F.concat(full_path(), F.col("filename")), p[0], _yes(n, "isJavaRegex", False))),
     "delete": _delete,

@@ -25,27 +25,25 @@ def classified(source: DataFrame, existing: DataFrame) -> DataFrame:
 
     A step classifies every row, of either side, that still has a partner by its key: path, name and content:
     unchanged; path and name: changed; path and content: renamed; name and content: moved; content:
-    renamed+moved. What is left is new, or deleted. Both sides go through one chain of windows over the keys,
-    so no input is read twice and no pairs are made.
+    renamed+moved. What is left is new, or deleted. Path and name must be unique on a side, so one window over them
+    settles the first two steps, mostly nearly all rows; only the others go through the windows of the rest.
     """
-    steps = (
-        ("unchanged", M.REL_PATH2 | M.FILENAME | M.FILE_SIZE | M.HASH),
-        ("changed", M.REL_PATH2 | M.FILENAME),
-        ("renamed", M.REL_PATH2 | M.FILE_SIZE | M.HASH),
-        ("moved", M.FILENAME | M.FILE_SIZE | M.HASH),
-        ("renamed+moved", M.FILE_SIZE | M.HASH),
-    )
     rows = source.withColumn("side", F.lit(0)).unionByName(existing.withColumn("side", F.lit(1)))
-    # the first two keys must be unique on a side; one check of the shorter one covers both
-    n = F.count("*").over(Window.partitionBy("__k", "side"))
+    rows = keyed(keyed(rows, M.REL_PATH2 | M.FILENAME, "__k"), M.FILE_SIZE | M.HASH | M.FILENAME, "__c")
+    by = Window.partitionBy("__k")
     fail = F.raise_error(F.concat(F.lit("key is not unique: "), F.to_json("__k"))).cast("boolean")
-    rows = keyed(rows, steps[1][1], "__k").repartition("__k").withColumn("__n", n).filter(F.when(F.col("__n") > 1, fail).otherwise(True)).drop("__n", "__k")
-    rows = rows.withColumn("change", F.lit(None).cast("string"))
-    for name, modes in steps:
+    sides = {f"__n{k}": F.count_if(F.col("side") == k).over(by) for k in (0, 1)}
+    same = F.min("__c").over(by) == F.max("__c").over(by)
+    rows = rows.withColumns(sides | {"__same": same}).filter(F.when((F.col("__n0") > 1) | (F.col("__n1") > 1), fail).otherwise(True))
+    both = (F.col("__n0") > 0) & (F.col("__n1") > 0)
+    rows = rows.withColumn("change", F.when(both & F.col("__same"), "unchanged").when(both, "changed")).drop("__k", "__c", "__n0", "__n1", "__same")
+    left = rows.filter("change is null")
+    for name, modes in (("renamed", M.REL_PATH2 | M.FILE_SIZE | M.HASH), ("moved", M.FILENAME | M.FILE_SIZE | M.HASH), ("renamed+moved", M.FILE_SIZE | M.HASH)):
         open_ = F.col("change").isNull()
-        rows = keyed(rows, modes, "__k").withColumn("change", F.when(open_ & _present("__k", open_), name).otherwise(F.col("change"))).drop("__k")
+        left = keyed(left, modes, "__k").withColumn("change", F.when(open_ & _present("__k", open_), name).otherwise(F.col("change"))).drop("__k")
     rest = F.when(F.col("side") == 0, "new").otherwise("deleted")
-    return rows.withColumn("change", F.coalesce("change", rest)).withColumn("side", F.when(F.col("side") == 0, "source").otherwise("existing"))
+    rows = rows.filter("change is not null").unionByName(left.withColumn("change", F.coalesce("change", rest)))
+    return rows.withColumn("side", F.when(F.col("side") == 0, "source").otherwise("existing"))
 
 
 def changes(source: DataFrame, existing: DataFrame) -> DataFrame:
@@ -65,6 +63,15 @@ def change_gate(class_totals: DataFrame, most_percent: int = 5, allowed: int = 5
     return t.withColumn("percent", percent).withColumn("too_many", (F.col("percent") >= most_percent) & (F.col("changed") > allowed))
 
 
+def sync_gate(source: DataFrame, target: DataFrame, plan: DataFrame, most_percent: int = 5, allowed: int = 50) -> DataFrame:
+    """total (different files of both sides), changed (changed and deleted ones), percent and too_many, for a sync_plan()."""
+    modes = M.HASH | M.FILE_SIZE | M.REL_PATH2 | M.FILENAME
+    keys = keyed(source, modes, "__k").select("__k").union(keyed(target, modes, "__k").select("__k")).distinct()
+    counted = keys.agg(F.count("*").alias("total")).crossJoin(plan.agg(F.count_if(F.col("change").isin("changed", "deleted")).alias("changed")))
+    percent = F.when(F.col("total") == 0, F.lit(0).cast("bigint")).otherwise(F.floor(F.col("changed") * 100 / F.col("total")).cast("bigint"))
+    return counted.withColumn("percent", percent).withColumn("too_many", (F.col("percent") >= most_percent) & (F.col("changed") > allowed))
+
+
 def space_gate(needed: Column, usable: Column, total: Column, least_percent: int = 10, least_mb: int = 1000) -> Column:
     """Whether too little of the disk would stay free."""
     left = usable - needed

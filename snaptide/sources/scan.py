@@ -8,8 +8,9 @@ import stat
 import struct
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +53,11 @@ def listed(spark: SparkSession, root: str, directories: DataFrame | None = None)
                             if deep:
                                 todo.append(f"{rel}{e.name}/")
                             continue
-                        s = e.stat(follow_symlinks=False)
+                        try:
+                            s = e.stat(follow_symlinks=False)
+                        except OSError as why:  # it went away, or may not be looked at
+                            rows.append((rel, e.name, None, None, None, None, None, None, None, str(why)))
+                            continue
                         born = getattr(s, "st_birthtime_ns", None) or s.st_ctime_ns
                         rows.append((rel, e.name, s.st_size, born, s.st_mtime_ns, e.name.startswith("."), stat.S_ISREG(s.st_mode), s.st_dev, s.st_ino, None))
                     if len(rows) > 10_000:
@@ -92,29 +97,38 @@ def digested(files: DataFrame, first_mb_only: bool = False) -> DataFrame:
 
 
 def stream_begins(files: DataFrame, root: str) -> DataFrame:
-    """files with first_begin, the digests of the chunks in the first megabyte, of which alone is read."""
+    """files with first_begin, the digests of the chunks in the first megabyte, of which alone is read; null if the
+    file can't be."""
     base = root.rstrip("/") + "/"
 
     @F.pandas_udf("string")
     def begin(rel: pd.Series, name: pd.Series) -> pd.Series:
-        return pd.Series([stream_digest(base + r[1:] + n, begin_only=True)[1] for r, n in zip(rel, name)])
+        return pd.Series([_readable(lambda: stream_digest(base + r[1:] + n, begin_only=True)[1])[0] for r, n in zip(rel, name)], dtype=object)
 
     return files.withColumn("first_begin", begin("rel", "filename"))
 
 
+def _readable(read: Callable) -> tuple:
+    """(what read() gives, None), or (None, why not)."""
+    try:
+        return read(), None
+    except OSError as e:
+        return None, str(e)
+
+
 def stream_digests(files: DataFrame, root: str, first_mb_only: bool = False) -> DataFrame:
-    """rel, filename, hash, hash_begin and hash_end for files of any size, read in pieces in the tasks."""
+    """rel, filename, hash, hash_begin, hash_end and failure for files of any size, read in pieces in the tasks."""
     base = root.rstrip("/") + "/"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for rel, name in zip(b["rel"], b["filename"]):
-                at = base + rel[1:] + name
-                rows.append((rel, name, *stream_digest(at, first_mb_only)))
-            yield pd.DataFrame(rows, columns=["rel", "filename", "hash", "hash_begin", "hash_end"])
+                found, why = _readable(lambda: stream_digest(base + rel[1:] + name, first_mb_only))
+                rows.append((rel, name, *(found or (None, None, None)), why))
+            yield pd.DataFrame(rows, columns=["rel", "filename", "hash", "hash_begin", "hash_end", "failure"])
 
-    return files.select("rel", "filename").mapInPandas(run, "rel string, filename string, hash string, hash_begin string, hash_end string")
+    return files.select("rel", "filename").mapInPandas(run, "rel string, filename string, hash string, hash_begin string, hash_end string, failure string")
 
 
 def stream_digest(path: str, first_mb_only: bool = False, begin_only: bool = False) -> tuple[str | None, str | None, str | None]:
@@ -159,16 +173,20 @@ def stream_digest(path: str, first_mb_only: bool = False, begin_only: bool = Fal
 MEMBERS = "archive string, rel string, filename string, size bigint, modified_ms bigint, content binary, failure string"
 
 
-def _members(name: str, data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
+def _members(name: str, source: BinaryIO) -> Iterator[tuple[str, int, int, bytes]]:
+    """The files in an archive, one after the other."""
     low = name.lower()
-    if zipfile.is_zipfile(io.BytesIO(data)):
-        with zipfile.ZipFile(io.BytesIO(data), metadata_encoding="cp437") as z:
+    if zipfile.is_zipfile(source):
+        with zipfile.ZipFile(source, metadata_encoding="cp437") as z:
             for m in z.infolist():
                 if not m.is_dir():
                     at = datetime(*m.date_time, tzinfo=timezone.utc)
                     yield m.filename, m.file_size, int(at.timestamp() * 1000), z.read(m)
-    elif low.endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2", ".tar.xz")) or tarfile.is_tarfile(io.BytesIO(data)):
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
+        return
+    source.seek(0)
+    if low.endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2", ".tar.xz")) or tarfile.is_tarfile(source):
+        source.seek(0)
+        with tarfile.open(fileobj=source, mode="r:*") as t:
             for m in t:
                 if m.isfile():
                     yield m.name, m.size, int(m.mtime * 1000), t.extractfile(m).read()
@@ -176,28 +194,49 @@ def _members(name: str, data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
         raise ValueError("no reader for this kind of archive")
 
 
-def archive_members(archives: DataFrame) -> DataFrame:
-    """Files in the archives of contents(): one row each, below <dir>/<archive name>/; directories are skipped.
+def archive_members(archives: DataFrame, root: str | None = None) -> DataFrame:
+    """Files in archives: one row each, below <dir>/<archive name>/; directories are skipped.
 
-    An archive that can't be read, or is of a kind the standard library has no reader for (7z, rar), gives one
-    row with failure.
+    Archives are rows of rel and filename, which are opened below root, or without it rows of contents(). A row is
+    given out per member, so memory holds one member. An archive that can't be read, or is of a kind the standard
+    library has no reader for (7z, rar), gives a row with failure, after the members read until then.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in MEMBERS.split(", ")]
         for b in batches:
-            for rel, name, data in zip(b["rel"], b["filename"], b["content"]):
-                rows = []
+            for rel, name, data in zip(b["rel"], b["filename"], b["content"] if root is None else b["rel"]):
                 try:
-                    for member, size, ms, content in _members(name, bytes(data)):
-                        inner, _, leaf = member.replace("\\", "/").lstrip("/").rpartition("/")
-                        where = f"{rel}{name}/" + (f"{inner}/" if inner else "")
-                        rows.append((rel + name, where, leaf, size, ms, content, None))
+                    with io.BytesIO(bytes(data)) if root is None else open(root.rstrip("/") + rel + name, "rb") as source:
+                        for member, size, ms, content in _members(name, source):
+                            inner, _, leaf = member.replace("\\", "/").lstrip("/").rpartition("/")
+                            where = f"{rel}{name}/" + (f"{inner}/" if inner else "")
+                            yield pd.DataFrame([(rel + name, where, leaf, size, ms, content, None)], columns=names)
                 except Exception as e:  # any damage to an archive is a failed read of it
-                    rows.append((rel + name, rel, name, None, None, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame([(rel + name, rel, name, None, None, None, f"{type(e).__name__}: {e}")], columns=names)
+
+    chosen = archives.filter(paths.is_archive(file_extension(F.col("filename"))))
+    return chosen.select("rel", "filename", *(["content"] if root is None else [])).mapInPandas(run, MEMBERS)
 
-    return archives.filter(paths.is_archive(file_extension(F.col("filename")))).select("rel", "filename", "content").mapInPandas(run, MEMBERS)
+
+def image_facts_of(files: DataFrame, root: str) -> DataFrame:
+    """rel, filename, img_width, img_height and img_exif_original_date of image files below root, each read whole; a
+    file that can't be read has nulls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for rel, name in zip(b["rel"], b["filename"]):
+                def facts() -> tuple:
+                    with open(root.rstrip("/") + rel + name, "rb") as f:
+                        return image_facts(f.read())
+
+                rows.append((rel, name, *(_readable(facts)[0] or (None, None, None))))
+            frame = pd.DataFrame(rows, columns=["rel", "filename", "w", "h", "ms"])
+            yield frame.astype({"w": "Int64", "h": "Int64", "ms": "Int64"})
+
+    found = files.select("rel", "filename").mapInPandas(run, "rel string, filename string, w int, h int, ms bigint")
+    return found.select("rel", "filename", F.col("w").alias("img_width"), F.col("h").alias("img_height"), F.timestamp_millis("ms").alias("img_exif_original_date"))
 
 
 def scan_totals(files: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -265,14 +304,26 @@ def image_facts(data: bytes | None) -> tuple[int | None, int | None, int | None]
     return width, height, taken
 
 
+def _jpeg_end(data: bytes, at: int) -> int:
+    """Where the JPEG that begins at at ends, its end marker looked for after its header's segments; -1 if it doesn't."""
+    k = at + 2
+    while k + 4 <= len(data) and data[k] == 0xFF:
+        if data[k + 1] == 0xDA:
+            end = data.find(b"\xff\xd9", k)
+            return end + 2 if end > 0 else -1
+        k += 2 + struct.unpack_from(">H", data, k + 2)[0]
+    return -1
+
+
 def largest_jpeg(data: bytes | None) -> bytes | None:
-    """The embedded JPEG with the most pixels in a raw image, sides from 1 to 20000."""
+    """The embedded JPEG with the most pixels in a raw image, sides from 1 to 20000. Segments are walked up to the
+    picture's data, so one that holds a thumbnail, or much before its frame, is found whole."""
     best, most, at = None, 0, 0
     while data and (at := data.find(b"\xff\xd8\xff", at)) >= 0:
-        width, height, _ = image_facts(data[at : at + 200_000])
-        end = data.find(b"\xff\xd9", at)
-        if width and height and 1 <= width <= 20_000 and 1 <= height <= 20_000 and width * height > most and end > 0:
-            best, most = data[at : end + 2], width * height
+        end = _jpeg_end(data, at)
+        width, height, _ = image_facts(data[at:end]) if end > 0 else (None, None, None)
+        if width and height and 1 <= width <= 20_000 and 1 <= height <= 20_000 and width * height > most:
+            best, most = data[at:end], width * height
         at += 3
     return best
 

@@ -131,6 +131,67 @@ def test_archives_are_read_and_damage_is_reported(spark, tmp_path):
     assert catalog.wide(catalog.load(spark, cat)).filter("in_archive").count() == 3
 
 
+def test_only_what_is_selected_and_new_is_read(spark, tmp_path, monkeypatch):
+    """Archives outside the includes, or excluded, give no members; hidden names do; known archives keep theirs."""
+    root, cat = tmp_path / "d", str(tmp_path / "cat")
+    for where in ("keep/a.zip", "skipme/b.zip", "keep/_under/c.zip", "keep/.dot/d.zip"):
+        (root / where).parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(root / where, "w") as z:
+            z.writestr("in.txt", where)
+    put(root / "keep" / "_pic.jpg", jpeg())
+    run = snapshot(spark, str(root), cat, includes=("keep",))
+    w = catalog.wide(catalog.load(spark, cat))
+    inside = lambda n: sorted(r.rel for r in w.filter(f"in_archive and run_id = {n}").collect())
+    assert inside(run) == ["/keep/.dot/d.zip/", "/keep/_under/c.zip/", "/keep/a.zip/"]
+    assert w.filter("filename = '_pic.jpg' and img_width = 64").count() == 1
+    opened = []
+    real = scan.archive_members
+    monkeypatch.setattr(scan, "archive_members", lambda archives, path: opened.append(archives.count()) or real(archives, path))
+    again = snapshot(spark, str(root), cat, includes=("keep",))
+    w = catalog.wide(catalog.load(spark, cat))
+    assert opened == [0] and inside(again) == inside(run) and counts(spark, cat)["file_content"] == 7 + 0
+    with pytest.raises(ValueError, match="nowhere"):
+        snapshot(spark, str(root), cat, includes=("keep", "nowhere"))
+
+
+def test_what_cannot_be_read_is_left_out_and_marks_the_run(spark, tmp_path, monkeypatch):
+    root, cat = tmp_path / "d", str(tmp_path / "cat")
+    put(root / "a.txt", b"one")
+    put(root / "gone.txt", b"two")
+    real = scan.listed
+
+    def vanishing(*args):
+        out = real(*args).persist()
+        out.count()
+        (root / "gone.txt").unlink(missing_ok=True)
+        return out
+
+    monkeypatch.setattr(scan, "listed", vanishing)
+    snapshot(spark, str(root), cat)
+    t = catalog.load(spark, cat)
+    assert [r.filename for r in catalog.wide(t).collect()] == ["a.txt"] and t["index_run"].first().failure_occurred
+    live = spark.createDataFrame([("/", "gone.txt"), ("/", "a.txt")], "rel string, filename string")
+    assert {r.filename: bool(r.failure) for r in scan.stream_digests(live, str(root)).collect()} == {"gone.txt": True, "a.txt": False}
+    assert {r.filename: r.first_begin is None for r in scan.stream_begins(live, str(root)).collect()} == {"gone.txt": True, "a.txt": False}
+
+
+def test_renames_go_round_names_that_are_taken(spark):
+    names = ["a.jpg", "b.jpg", "c.jpg", "20240101_100000_2.jpg", "20240101_100000_4.jpg", "20240101_100000.png"]
+    rows = [(i, 1, "/", n, n[-3:]) for i, n in enumerate(names)]
+    at = F.to_timestamp(F.lit("2024-01-01 10:00:00"))
+    files = spark.createDataFrame(rows, "id bigint, run_id bigint, rel string, filename string, extension string").withColumns({"modified": at, "img_exif_original_date": at})
+    assert {r.id: r.new_name for r in compare.rename_plan(files).collect()} == {0: "20240101_100000.jpg", 1: "20240101_100000_3.jpg", 2: "20240101_100000_5.jpg"}
+
+
+def test_the_largest_picture_is_taken_whole():
+    small, large = jpeg(), jpeg()[:-2] + b"\xff\xd9"
+    thumb = small + b"\0\0"
+    app = b"\xff\xe1" + struct.pack(">H", len(thumb) + 2) + thumb
+    pad = b"\xff\xe2" + struct.pack(">H", 65_002) + b"\0" * 65_000
+    picture = b"\xff\xd8" + app + pad * 5 + b"\xff\xc0" + struct.pack(">HBHHB", 8, 8, 400, 600, 0) + b"\xff\xda\0\2data\xff\xd9"
+    assert scan.largest_jpeg(b"raw" + large + picture + b"tail") == picture and scan.largest_jpeg(b"raw\xff\xd8\xff\xe1") is None
+
+
 @pytest.mark.parametrize("size", [0, 1, 511, 512, 1023, 1024, 3071, 3072, (1 << 20) - 1, 1 << 20, (1 << 20) + 1])
 def test_digests_of_bytes_and_streams_agree(spark, tmp_path, size):
     data = bytes(i * 7 % 251 for i in range(size))
@@ -164,7 +225,8 @@ def test_pipeline_runs_as_one_plan(spark, tmp_path):
     assert [r.filename for r in e.run(f"findFilesWithNoCopy {root}/more {root}/ref").collect()] == ["d.jpg"]
     assert e.run("filter x") is None
     assert [r.rel for r in e.run(f"listPaths {root}").collect()] == ["/more/", "/ref/"]
-    assert e.run("list").first().files == 4
+    listed = e.run("list").first()
+    assert listed.files == 4 and listed.description.startswith("No. 1: ") and listed.description.endswith(f"{root}/  (files: 4)")
     moved = e.run(f"findFilesWithNoCopy {root}/more {root}/ref | move /MORE/ /kept/")
     assert moved.count() == 1 and e.plans["move"].first().destination == "/kept/d.jpg"
     e.run(f"findFilesWithNoCopy {root}/more {root}/ref | move /elsewhere/ /kept/")
@@ -185,6 +247,9 @@ def test_backup_command_looks_at_all_backups(spark, tmp_path):
     assert {r.filename: r.change for r in e.run(f"backup {src} {dst}").collect()} == {"a": "new", "b": "changed"}
     assert {r.path: r.action for r in e.plans["backup"].collect()} == {"/a": "link", "/b": "copy"}
     assert e.plans["backupSpace"].first().needed_bytes == 3 and not e.plans["backupGate"].first().too_many
+    assert e.plans["backupSpaceGate"].first().blocked in (True, False)
+    assert [r.change for r in e.run(f"sync {src} {dst}/2025").orderBy("change").collect()] == ["changed", "new"]
+    assert {r.change: r.files for r in e.plans["syncTotals"].collect()} == {"changed": 1, "new": 1} and e.plans["syncGate"].first().changed == 1
 
 
 def test_words_and_stages():
