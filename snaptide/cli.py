@@ -11,11 +11,12 @@ from snaptide import catalog
 from snaptide.config import Config
 from snaptide.functions.paths import DEFAULT_EXCLUDED_DIRS, DEFAULT_EXCLUDED_FILES
 from snaptide.plans import compare, pipeline
-from snaptide.sources import scan
+from snaptide.sources import legacy, scan
 from snaptide.sources.ingest import snapshot
 
 HELP = {
     "index": "DIR: take a snapshot",
+    "importOldDb": "JDBC-URL: take over the runs of an old catalogue",
     "sync": "SOURCE TARGET: what a sync would copy and delete",
     "backup": "SOURCE TARGET: how the source differs from the last backup",
     "verify": "DIR: compare a directory with its newest snapshot",
@@ -55,6 +56,8 @@ class Session:
                 excluded_files=DEFAULT_EXCLUDED_FILES + config.excluded_files, excluded_dirs=DEFAULT_EXCLUDED_DIRS + config.excluded_paths,
             )
             return self.run("list")
+        if name == "importolddb":
+            return legacy.import_into(self.spark, config.db, legacy.read_jdbc(self.spark, plain[0]), config.medium_serial, config.medium_description)
         engine = pipeline.Engine(catalog.load(self.spark, config.db), config.medium_serial)
         if name == "verify":
             # here the quick ways are used only if asked for

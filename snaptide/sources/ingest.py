@@ -17,14 +17,14 @@ from snaptide.schema import TABLES, validated
 from snaptide.sources import scan
 
 
-def _append(df: DataFrame, folder: str, name: str) -> None:
+def append(df: DataFrame, folder: str, name: str) -> None:
     columns = [c.split()[0] for c in TABLES[name].split(", ")]
     typed = df.select(*(F.col(c).cast(t.split()[1]).alias(c) for c, t in zip(columns, TABLES[name].split(", "))))
     writer = validated(name, typed).write.mode("append")
     (writer.partitionBy("index_run_id") if name == "file_location" else writer).parquet(f"{folder}/{name}")
 
 
-def _dropped(spark: SparkSession, path: str) -> None:
+def drop_folder(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -110,7 +110,7 @@ def snapshot(
     old = t["file_content"].select(F.col("file_size").alias("o_size"), F.col("hash").alias("o_hash"), F.col("id").alias("o_id"))
     fresh = found.filter("hash is not null").groupBy(F.col("size").alias("file_size"), "hash").agg(F.first("hash_begin").alias("hash_begin"), F.first("hash_end").alias("hash_end"))
     fresh = fresh.join(old, (F.col("file_size") == F.col("o_size")) & (F.col("hash") == F.col("o_hash")), "left_anti")
-    _append(catalog.numbered(fresh, t["file_content"], "hash", "file_size"), folder, "file_content")
+    append(catalog.numbered(fresh, t["file_content"], "hash", "file_size"), folder, "file_content")
     content = catalog.load(spark, folder)["file_content"]
 
     by = content.select(F.col("id").alias("c_id"), F.col("file_size").alias("c_size"), F.col("hash").alias("c_hash"))
@@ -121,10 +121,10 @@ def snapshot(
     unseen.write.parquet(f"{stage}/images")
     unseen = spark.read.parquet(f"{stage}/images")
     meta = scan.image_facts_of(unseen, path).join(unseen, ["rel", "filename"]).withColumnRenamed("content_id", "file_content_id")
-    _append(catalog.numbered(meta, t["file_meta"], "file_content_id"), folder, "file_meta")
+    append(catalog.numbered(meta, t["file_meta"], "file_content_id"), folder, "file_meta")
 
     dirs = shared.select(F.col("rel").alias("path")).distinct().union(spark.createDataFrame([(path,)], "path string"))
-    _append(catalog.new_paths(t["file_path"], dirs), folder, "file_path")
+    append(catalog.new_paths(t["file_path"], dirs), folder, "file_path")
     path_ids = catalog.load(spark, folder)["file_path"].select(F.col("path").alias("rel"), F.col("id").alias("file_path_id"))
 
     run_id = (t["index_run"].agg(F.max("id")).first()[0] or 0) + 1
@@ -138,11 +138,11 @@ def snapshot(
     inodes = links.join(groups, ["device", "os_inode"]).join(new, ["device", "os_inode"], "left").select("rel", "filename", F.coalesce("known", "new").alias("reference_inode"))
     located = shared.join(inodes, ["rel", "filename"], "left").join(path_ids, "rel")
     located = located.select(F.lit(run_id).alias("index_run_id"), F.col("content_id").alias("file_content_id"), "file_path_id", "filename", "extension", "reference_inode", "created", "modified", "hidden", "in_archive")
-    _append(catalog.numbered(located, t["file_location"], "file_path_id", "filename"), folder, "file_location")
+    append(catalog.numbered(located, t["file_location"], "file_path_id", "filename"), folder, "file_location")
 
     disk = os.statvfs(path)
     root_id = path_ids.filter(F.col("rel") == path).first()["file_path_id"]
     run = [(run_id, root_id, path, "", medium_description, medium_serial, now or datetime.now(timezone.utc), not os.access(path, os.W_OK), is_backup, 1 if first_mb_only else None, True, "|".join(sorted(set(includes))), "|".join(sorted(set(excluded_dirs))), "|".join(sorted(set(excluded_files))), disk.f_blocks * disk.f_frsize, disk.f_bavail * disk.f_frsize, failures > 0)]
-    _append(spark.createDataFrame(run, TABLES["index_run"]), folder, "index_run")
-    _dropped(spark, stage)
+    append(spark.createDataFrame(run, TABLES["index_run"]), folder, "index_run")
+    drop_folder(spark, stage)
     return run_id

@@ -278,3 +278,26 @@ def test_dropped_files_stream(spark, tmp_path):
         collect_digests(dropped(spark, str(tmp_path / "in")), out, str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(out).count() == n
         put(tmp_path / "in" / "b.txt", b"two")
+
+
+def test_an_old_catalogue_is_taken_over_once(spark, tmp_path):
+    from snaptide.sources import legacy
+
+    root, cat = tmp_path / "d", str(tmp_path / "cat")
+    put(root / "a.txt", b"hello")
+    snapshot(spark, str(root), cat)
+    sha = "aaf4c61ddcc5e8a2dabede0f3b482cd9aea9434d"  # of hello
+    old = {
+        "BackupRun": spark.createDataFrame([(1, "2000-01-02", 946_771_200), (2, "2000-01-03", 946_857_600)], "id bigint, pathPrefix string, backupDate bigint"),
+        "BackupPath": spark.createDataFrame([(1, bytearray(b"docs")), (2, bytearray("\u00e4".encode("latin-1")))], "id bigint, path binary"),
+        "FileContent": spark.createDataFrame([(1, 5, 946_684_800, sha), (2, 7, 946_684_800, "b" * 40), (3, 0, 946_684_800, "c" * 40)], "id bigint, fileSize bigint, modified bigint, sha1 string"),
+        "FileLocation": spark.createDataFrame([(1, 1, 1, 1, bytearray(b"h.txt")), (2, 2, 1, 1, bytearray(b"b.bin")), (3, 2, 2, 1, bytearray(b"b2.bin")), (4, 3, 1, 2, bytearray(b"void")), (5, 1, 1, 1, bytearray(b"h.txt"))], "id bigint, fileContent_id bigint, backupPath_id bigint, backupRun_id bigint, filename binary"),
+    }
+    assert sorted(r.path for r in legacy.import_into(spark, cat, old).collect()) == ["/2000-01-02/", "/2000-01-03/"]
+    assert legacy.import_into(spark, cat, old).count() == 0
+    t = catalog.load(spark, cat)
+    rows = {(r.rel, r.filename): r for r in catalog.wide(t).filter("is_backup").collect()}
+    assert sorted(rows) == [("/docs/", "b.bin"), ("/docs/", "h.txt"), ("/docs/", "void"), ("/\u00e4/", "b2.bin")]
+    assert t["file_content"].count() == 2 and rows[("/docs/", "void")].content_id is None
+    assert rows[("/docs/", "h.txt")].content_id == catalog.wide(t).filter("filename = 'a.txt'").first().content_id
+    assert rows[("/docs/", "b.bin")].reference_inode == rows[("/\u00e4/", "b2.bin")].reference_inode == 1
